@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import core_problems
+from codeloom.plans import core_problems, search_queries
 
-MODULES = [core_problems]
+MODULES = [core_problems, search_queries]
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, directory):
-    return core_problems.p2_found(spark, directory)
+    return search_queries.QUERIES["f1_find_type_exact"](spark, directory)
