@@ -79,32 +79,34 @@ def cuts(data: bytes) -> list[tuple[int, bool]]:
     return out
 
 
-CHUNKS = "uid long, doc_id long, seq int, key binary, text string, sure boolean"
+CHUNKS = "uid long, doc_id long, seq int, key binary, text string, sure boolean, repair boolean"
 
 
 def _chunk(batches: Iterable[pa.RecordBatch]):
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[] for _ in range(7)]
         held = 0
         for uid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             data = (text or "").encode()
+            ends = cuts(data)
+            repair = not all(sure for _, sure in ends)
             start = 0
-            for seq, (end, sure) in enumerate(cuts(data)):
+            for seq, (end, sure) in enumerate(ends):
                 part = data[start:end]
                 start = end
-                for column, value in zip(columns, (uid, doc_id, seq, xxhash.xxh3_128_digest(part), part.decode(), sure)):
+                for column, value in zip(columns, (uid, doc_id, seq, xxhash.xxh3_128_digest(part), part.decode(), sure, repair)):
                     column.append(value)
             held += len(data)
             if held > 8_000_000:
                 yield _batch(columns)
-                columns, held = [[], [], [], [], [], []], 0
+                columns, held = [[] for _ in range(7)], 0
         if columns[0]:
             yield _batch(columns)
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "doc_id", "seq", "key", "text", "sure"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "doc_id", "seq", "key", "text", "sure", "repair"])
 
 
 def _encoder(folder: str, vocabulary: str):
@@ -199,8 +201,7 @@ def _assemble(folder: str, vocabulary: str):
         for batch in batches:
             out = []
             for parts in batch["parts"]:
-                ordered = sorted(parts, key=lambda p: p["seq"])
-                out.append(join([(np.asarray(p["ids"]).tolist(), bool(p["sure"])) for p in ordered], encoding))
+                out.append(join([(np.asarray(p["ids"]).tolist(), bool(p["sure"])) for p in parts], encoding))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": out})
 
     return run
@@ -221,6 +222,14 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: st
     encoded = scratch.save(counted.select("key", "text").mapInArrow(_encoder(folder, vocabulary), "key binary, ids array<int>"))
     limit = max(1, int(chunks.count() * HEAVY_SHARE))
     heavy = [bytes(r[0]) for r in counted.where(F.col("n") > limit).select("key").collect()]  # at most 1 / HEAVY_SHARE
-    found = heavy_light_join(chunks.select("uid", "doc_id", "seq", "sure", "key"), encoded, "key", heavy)
-    whole = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("seq", "sure", "ids")).alias("parts"))
-    return whole.select("doc_id", "parts").mapInPandas(_assemble(folder, vocabulary), "doc_id long, ids array<int>")
+    # The ids of a text all of whose cuts are certain are those of its chunks, one after the other; only the others
+    # leave the JVM to be repaired.
+    parts = []
+    for repair in (False, True):
+        found = heavy_light_join(chunks.where(F.col("repair") == repair).select("uid", "doc_id", "seq", "sure", "key"), encoded, "key", heavy)
+        whole = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "sure", "ids"))).alias("parts"))
+        if repair:
+            parts.append(whole.select("doc_id", "parts").mapInPandas(_assemble(folder, vocabulary), "doc_id long, ids array<int>"))
+        else:
+            parts.append(whole.select("doc_id", F.flatten("parts.ids").alias("ids")))
+    return parts[0].unionByName(parts[1])
