@@ -1,8 +1,8 @@
 """Encoding a corpus with a public byte-level tokenizer, each shared passage once.
 
 Texts are cut where a rolling hash over the last bytes says so, so equal passages are cut alike wherever they stand.
-Equal chunks are encoded once for the whole corpus. A cut at a place where the tokenizer's words always end (a space
-between two visible ASCII characters) is exact as it is; at any other cut the two sides are repaired: the text around
+Equal chunks are encoded once for the whole corpus. A cut at a place where the tokenizer's words always end (between a
+visible ASCII character and white space) is exact as it is; at any other cut the two sides are repaired: the text around
 the cut is encoded again, from the nearest certain word end before it to the nearest one after it, reaching as far into
 the chunks (and over further cuts) as it takes. The ids then agree with those of the whole text.
 """
@@ -47,6 +47,19 @@ def tokenizer(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tiktoke
     return tiktoken.Encoding("corpus", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space of more characters than that is split into words here, for the tokenizer's own splitter runs out of stack.
+LONG_SPACE = 2_000
+_LONG = regex.compile(r"\p{White_Space}{%d}" % LONG_SPACE)
+_WORD = regex.compile(WORDS.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+
+
+def encode(text: str, encoding: tiktoken.Encoding) -> list[int]:
+    """The ids of a text, however long its runs of white space."""
+    if not _LONG.search(text):
+        return encoding.encode_ordinary(text)
+    return [i for word in _WORD.findall(text) for i in encoding._core_bpe.encode_single_piece(word.encode())]
+
+
 def cuts(data: bytes) -> list[tuple[int, bool]]:
     """Where to cut: (offset, whether the cut is at a certain word end), the end of the data last."""
     size = len(data)
@@ -59,7 +72,7 @@ def cuts(data: bytes) -> list[tuple[int, bool]]:
         rolled[k:] += gear[: size - k] << np.uint32(k)
     visible = (b > 0x20) & (b < 0x7F)
     certain = np.zeros(size, dtype=bool)
-    certain[1:-1] = (b[1:-1] == 0x20) & visible[:-2] & visible[2:]
+    certain[1:] = ((b[1:] == 0x20) | ((b[1:] >= 0x09) & (b[1:] <= 0x0D))) & visible[:-1]
     begins = (b & 0xC0) != 0x80  # the first byte of a character
     # A cut before byte i depends on the bytes before it only. Certain word ends are about one place in six.
     before = np.zeros(size, dtype=np.uint32)
@@ -111,27 +124,28 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
 
 def _encoder(folder: str, vocabulary: str):
     def run(batches: Iterable[pa.RecordBatch]):
-        encode = tokenizer(folder, vocabulary).encode_ordinary
+        encoding = tokenizer(folder, vocabulary)
         for batch in batches:
-            ids = pa.array([encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            ids = pa.array([encode(t, encoding) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids], names=["key", "ids"])
 
     return run
 
 
+_KINDS = regex.compile(r"(\p{White_Space})|(\p{L})|(\p{N})", regex.DOTALL)
+
+
 def _kind(c: str) -> int:
-    return 0 if c.isspace() or regex.match(r"\s", c) else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3
+    found = _KINDS.match(c)
+    return 4 if found is None else found.lastindex
 
 
 def _word_end(text: str, i: int) -> bool:
-    """Whether a word of the tokenizer certainly ends between ``text[i-1]`` and ``text[i]``, whatever surrounds them."""
-    a, b = text[i - 1], text[i]
-    ka, kb = _kind(a), _kind(b)
-    if not ka:
-        return False
-    if not kb:
-        return b == " " and i + 1 < len(text) and bool(_kind(text[i + 1]))
-    return ka != kb and a != "'"
+    """Whether a word of the tokenizer certainly ends between ``text[i-1]`` and ``text[i]``, whatever surrounds them: the
+    kind of the characters changes, and it does not change from white space, which may go either way, or after an
+    apostrophe, which may begin a word with what follows."""
+    a, b = _kind(text[i - 1]), _kind(text[i])
+    return a != 1 and a != b and text[i - 1] != "'"
 
 
 def join(parts: list[tuple[list[int], bool]], encoding: tiktoken.Encoding) -> list[int]:
@@ -146,7 +160,7 @@ def join(parts: list[tuple[list[int], bool]], encoding: tiktoken.Encoding) -> li
             continue
         left, right = list(ids), list(parts[i][0])
         right_sure = parts[i][1]
-        take, give = 8, 8
+        take, give, more = 8, 8, 1
         while True:
             take, give = min(take, len(left)), min(give, len(right))
             a, b = encoding.decode_bytes(left[len(left) - take :]), encoding.decode_bytes(right[:give])
@@ -158,7 +172,7 @@ def join(parts: list[tuple[list[int], bool]], encoding: tiktoken.Encoding) -> li
             if lo is not None and hi is not None:
                 (keep, begin), (drop, end) = lo, hi
                 done.extend(left[: len(left) - take + keep])
-                middle = encoding.encode_ordinary(text[begin:end])
+                middle = encode(text[begin:end], encoding)
                 parts[i] = (middle + right[drop:], right_sure)
                 break
             if lo is None and take < len(left):
@@ -169,11 +183,15 @@ def join(parts: list[tuple[list[int], bool]], encoding: tiktoken.Encoding) -> li
                 continue
             # No certain word end in all of the chunk: the two are one stretch, which goes on with the next cut.
             if hi is None and i + 1 < len(parts) and not right_sure:
-                right, right_sure = right + list(parts[i + 1][0]), parts[i + 1][1]
-                i += 1
+                stop = min(i + more, len(parts) - 1)
+                while i < stop and not right_sure:
+                    i += 1
+                    right.extend(parts[i][0])
+                    right_sure = parts[i][1]
+                more *= 2
                 continue
             both = encoding.decode_bytes(left + right).decode()
-            parts[i] = (encoding.encode_ordinary(both), right_sure)
+            parts[i] = (encode(both, encoding), right_sure)
             break
     return done
 
@@ -181,13 +199,14 @@ def join(parts: list[tuple[list[int], bool]], encoding: tiktoken.Encoding) -> li
 def _bound(text, raw, skip, ids, encoding, back, at, whole):
     """The end of the repaired stretch on one side: (tokens of ``ids`` before it, offset in ``text``), or None if no
     token end of that side is a certain word end. The outer end of a whole chunk counts as one, for its chunk ends there."""
-    lengths = np.cumsum([0] + [len(encoding.decode_single_token_bytes(t)) for t in ids]).tolist()
-    order = range(len(lengths) - 1, -1, -1) if back else range(len(lengths))
-    for k in order:
-        offset = lengths[k]
-        if offset < skip or (offset < len(raw) and raw[offset] & 0xC0 == 0x80):
+    ends = np.cumsum([0] + [len(encoding.decode_single_token_bytes(t)) for t in ids])
+    first = (np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80  # bytes that begin a character
+    before = np.concatenate([[0], np.cumsum(first)])
+    for k in range(len(ends) - 1, -1, -1) if back else range(len(ends)):
+        offset = int(ends[k])
+        if offset < skip or (offset < len(raw) and not first[offset]):
             continue
-        where = len(raw[skip:offset].decode(errors="ignore")) + (0 if back else at)
+        where = int(before[offset] - before[skip]) + (0 if back else at)
         if whole and k == (0 if back else len(ids)):
             return k, where
         if 0 < where < len(text) and (where < at if back else where > at) and _word_end(text, where):
