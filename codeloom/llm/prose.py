@@ -277,13 +277,9 @@ def text_types(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     described = scratch.save(picked.mapInPandas(_describer(common), FIELDS))
     patterns = described.select(F.explode("votes").alias("v")).groupBy("v.code").agg(F.sum("v.chars").alias("chars")).collect()
     posterior = learn({r["code"]: float(r["chars"]) for r in patterns})
-    spark = documents.sparkSession
-    table = F.create_map(*[x for code, p in posterior.items() if p >= 0.5 for x in (F.lit(code), F.lit(p))]) if any(p >= 0.5 for p in posterior.values()) else None
-    if table is None:
-        share = F.lit(0.0)
-    else:
-        inside = F.aggregate("votes", F.lit(0).cast("long"), lambda a, v: a + F.when(F.array_contains(F.lit(sorted(c for c, p in posterior.items() if p >= 0.5)), v["code"]), v["chars"]).otherwise(0))
-        share = F.when(F.col("n_chars") > 0, inside / F.col("n_chars")).otherwise(0.0)
+    good = F.array(*[F.lit(code) for code, p in sorted(posterior.items()) if p >= 0.5]).cast("array<int>")
+    inside = F.aggregate("votes", F.lit(0).cast("long"), lambda a, v: a + F.when(F.array_contains(good, v["code"]), v["chars"]).otherwise(0))
+    share = F.when(F.col("n_chars") > 0, inside / F.col("n_chars")).otherwise(0.0)
     kind = F.when(F.col("n_chars") == 0, "empty").when(F.col("repeated"), "repetition").when(F.col("prose_share") >= PROSE_SHARE, "prose").otherwise("other")
     return described.withColumn("prose_share", share).withColumn("text_type", kind).drop("votes", "repeated")
 

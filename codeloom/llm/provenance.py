@@ -26,7 +26,7 @@ MIN_LINE = 160.0
 MIN_LITERAL = 0.8
 MIN_CODE = 200
 #: Share of the files with one identifier prefix that are known to be third party, from which the others are too.
-PREFIX_SHARE = 0.9
+PREFIX_SHARE = 0.5
 
 # Folders that hold other people's code, by the names in general use.
 THIRD_PARTY_FOLDERS = (

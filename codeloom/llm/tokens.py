@@ -76,7 +76,7 @@ def cuts(data: bytes) -> list[tuple[int, bool]]:
     begins = (b & 0xC0) != 0x80  # the first byte of a character
     # A cut before byte i depends on the bytes before it only. Certain word ends are about one place in six.
     before = np.zeros(size, dtype=np.uint32)
-    before[1:] = rolled[:-1]
+    before[1:] = rolled[:-1] >> np.uint32(16)  # the upper bits have seen the whole window
     hit = np.flatnonzero((certain & (before % np.uint32(EVERY // 4) == 0)) | (begins & (before % np.uint32(EVERY * 4) == 1)))
     out, last = [], 0
     for i in hit.tolist():
