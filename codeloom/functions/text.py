@@ -35,9 +35,10 @@ def summarise_argument(value: Column) -> Column:
 
 def common_folder(low: Column, high: Column) -> Column:
     """The longest leading path that two paths share, up to and with its last slash."""
-    parts = F.arrays_zip(F.split(low, "/").alias("a"), F.split(high, "/").alias("b"))
+    folders = lambda p: F.slice(F.split(p, "/"), 1, F.size(F.split(p, "/")) - 1)
+    parts = F.arrays_zip(folders(low).alias("a"), folders(high).alias("b"))
     same = F.aggregate(parts, F.struct(F.lit("").alias("path"), F.lit(True).alias("on")), lambda acc, p: F.struct(
         F.when(acc["on"] & (p["a"] == p["b"]), F.concat(acc["path"], p["a"], F.lit("/"))).otherwise(acc["path"]).alias("path"),
         F.coalesce(acc["on"] & (p["a"] == p["b"]), F.lit(False)).alias("on"),
     ))
-    return F.regexp_replace(same["path"], "[^/]*$", "")
+    return same["path"]

@@ -24,7 +24,7 @@ def literals(pattern: str) -> list[str]:
     groups or classes, or a run is optional."""
     if re.search(r"[|()\[\]\\]", pattern):
         return []
-    runs = re.split(r"[.^$]|.(?:[*?]|\{[^}]*\})|\+", pattern)
+    runs = re.split(r".(?:[*?]|\{[^}]*\})|[.^$]|\+", pattern)
     return [r for r in runs if len(r) >= 3]
 
 

@@ -179,9 +179,9 @@ ORACLE = {
     "a11_language_status": "select language, count(*) as n, false as is_empty from files where language not in ('content', 'asset') group by language union all select 'content', count(*), count(*) = 0 from assets",
     "a12_freshness": "select project, max(mtime) as newest from files group by project",
     "a13_project_folders": """
-        with ends as (select project, string_split(min(path), '/') as a, string_split(max(path), '/') as b from files group by project),
+        with ends as (select project, string_split(min(path), '/')[:-2] as a, string_split(max(path), '/')[:-2] as b from files group by project),
         same as (select project, a, b, (select coalesce(min(i), least(len(a), len(b)) + 1) from range(1, least(len(a), len(b)) + 1) t(i) where a[i] <> b[i]) as cut from ends)
-        select project, regexp_replace(array_to_string(list_slice(a, 1, cut - 1), '/') || '/', '[^/]*$', '') as folder from same""",
+        select project, array_to_string(list_slice(a, 1, cut - 1), '/') || case when cut > 1 then '/' else '' end as folder from same""",
     "a15_hits_by_file": f"with {grep_sql('DrainSocket')} select path, project, count(*) as n, list({{'line': line, 'match': match}} order by line) as matches from hits group by path, project",
     "a17_asset_hits": _asset_hits_sql("Crane"),
     "a18_latencies": f"""

@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Only so many bytes of a file are looked at.
 HEAD = 256 * 1024
@@ -116,11 +117,13 @@ def asset_classes(data: bytes | None) -> tuple[str | None, str | None]:
     return (imported(exports[0][0])[1] if exports else None), None
 
 
-@F.pandas_udf("asset_class string, parent_class string")
 def _classes(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([asset_classes(d) for d in data], columns=["asset_class", "parent_class"])
 
 
+_CLASSES = T.StructType([T.StructField("asset_class", T.StringType()), T.StructField("parent_class", T.StringType())])
+
+
 def header_classes(content: Column) -> Column:
     """``asset_classes`` of a binary column, as a struct; only the head of each file leaves the JVM."""
-    return _classes(F.substring(content, 1, HEAD))
+    return F.pandas_udf(_classes, _CLASSES)(F.substring(content, 1, HEAD))
