@@ -33,16 +33,15 @@ def _contract(links: DataFrame, scratch: Scratch) -> DataFrame:
     Nodes that lead into a cycle of such nodes have no row. ``links``: (c, p), distinct."""
     single = scratch.save(links.groupBy(F.col("c").alias("n")).agg(F.count("*").alias("k"), F.min("p").alias("to")).where("k = 1").select("n", "to"))
     known = single.select(F.col("n").alias("to"), F.lit(True).alias("goes"))
-    state = scratch.save(single.join(known, "to", "left").select("n", "to", F.lit(1).cast("long").alias("hops"), F.col("goes").isNull().alias("done")))
-    open_before = -1
-    while True:
-        still = state.where("not done").count()
-        if still in (0, open_before):
-            return state.where("done").drop("done")
-        open_before = still
-        moved = scratch.save(_jump(state, {"to": F.col("o_to"), "hops": F.col("hops") + F.col("o_hops"), "done": F.col("o_done")}, ~F.col("done")))
+    still = {"open": F.count_if(~F.col("done"))}
+    state, now = scratch.measured(single.join(known, "to", "left").select("n", "to", F.lit(1).cast("long").alias("hops"), F.col("goes").isNull().alias("done")), **still)
+    before = None
+    while now["open"] and now != before:
+        before = now
+        moved, now = scratch.measured(_jump(state, {"to": F.col("o_to"), "hops": F.col("hops") + F.col("o_hops"), "done": F.col("o_done")}, ~F.col("done")), **still)
         scratch.drop(state)
         state = moved
+    return state.where("done").drop("done")
 
 
 def _several(links: DataFrame, ends: DataFrame, scratch: Scratch) -> DataFrame:
@@ -68,10 +67,11 @@ def descendants(links: DataFrame, starts: DataFrame) -> DataFrame:
     up = _several(open_links, ends, scratch)
     reached, front = begin, begin
     while True:
-        new = scratch.save(up.join(front, "q", "left_semi").select(F.col("c").alias("q")).distinct().join(reached, "q", "left_anti"))
-        if new.isEmpty():
+        new, found = scratch.measured(up.join(front, "q", "left_semi").select(F.col("c").alias("q")).distinct().join(reached, "q", "left_anti"), rows=F.count(F.lit(1)))
+        if not found["rows"]:
             break
-        reached, front = scratch.save(reached.union(new)), new
+        reached, front = reached.union(new), new
+    reached = scratch.save(reached)
     below = ends.join(reached.select(F.col("q").alias("to")), "to", "left_semi").select("n")
     below = scratch.save(below.union(reached.join(begin, "q", "left_anti")).distinct())
     own = ids.join(begin.select(F.col("q").alias("c")), "c", "left_semi")
@@ -108,10 +108,9 @@ def depths(types: DataFrame) -> DataFrame:
     known = scratch.save(roots)
     while True:
         offers = up.join(known.select(F.col("n").alias("q"), "d"), "q").groupBy(F.col("c").alias("n")).agg(F.min(F.col("hops") + F.col("d")).alias("e"))
-        both = scratch.save(known.join(offers, "n", "full_outer").select("n", F.least("d", "e").alias("d"), (F.col("d").isNull() | (F.col("e") < F.col("d"))).alias("up")))
-        better = not both.where("up").isEmpty()
+        both, found = scratch.measured(known.join(offers, "n", "full_outer").select("n", F.least("d", "e").alias("d"), (F.col("d").isNull() | (F.col("e") < F.col("d"))).alias("up")), better=F.count_if("up"))
         known = both.select("n", "d")
-        if not better:
+        if not found["better"]:
             break
     chain = ends.join(known.select(F.col("n").alias("to"), "d"), "to").select("n", (F.col("hops") + F.col("d")).alias("d"))
     return nodes.join(known.union(chain), "n", "left").select("name", F.col("d").alias("depth"))

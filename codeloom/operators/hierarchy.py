@@ -51,7 +51,8 @@ def hash_seed(names: DataFrame) -> int:
 
 def _peel(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Takes away links from leaves and links to roots, round by round, while that removes a fair share of them."""
-    count = links.count()
+    links, found = scratch.measured(links, rows=F.count(F.lit(1)))
+    count = found["rows"]
     while count:
         degree = links.groupBy("p").agg(F.count("*").alias("n"))
         inner = scratch.save(links.join(degree.select(F.col("p").alias("c")), "c", "left_semi"))  # its child has children
@@ -59,8 +60,8 @@ def _peel(links: DataFrame, scratch: Scratch) -> DataFrame:
         roots = scratch.save(degree.join(inner.select(F.col("c").alias("p")).distinct(), "p", "left_anti"))
         limit = max(1, int(count * HEAVY_SHARE))
         heavy = [r[0] for r in roots.where(F.col("n") > limit).select("p").collect()]
-        core = scratch.save(heavy_light_join(inner, roots.select("p"), "p", heavy, "left_anti"))
-        left = core.count()
+        core, found = scratch.measured(heavy_light_join(inner, roots.select("p"), "p", heavy, "left_anti"), rows=F.count(F.lit(1)))
+        left = found["rows"]
         scratch.drop(links, inner, roots)
         links, before, count = core, count, left
         if before - left < PEEL_SHARE * before:
@@ -72,8 +73,8 @@ def _spread(edges: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """The largest label that reaches each node along the edges (a, b): label(b) = max of its own and of its sources'."""
     while True:
         came = edges.join(label.withColumnRenamed("n", "a"), "a").groupBy(F.col("b").alias("n")).agg(F.max("l").alias("m"))
-        grown = scratch.save(label.join(came, "n", "left").select("n", F.greatest("l", "m").alias("l"), (F.col("m") > F.col("l")).alias("up")))
-        changed = not grown.where("up").isEmpty()
+        grown, found = scratch.measured(label.join(came, "n", "left").select("n", F.greatest("l", "m").alias("l"), (F.col("m") > F.col("l")).alias("up")), changed=F.count_if(F.coalesce("up", F.lit(False))))
+        changed = found["changed"] > 0
         scratch.drop(label)
         label = grown.select("n", "l")
         label._scratch_path = grown._scratch_path
@@ -130,15 +131,18 @@ def contract_chains(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
     """
     single = links.groupBy(F.col("c").alias("n")).agg(F.count("*").alias("k"), F.min("p").alias("to")).where("k = 1").select("n", "to")
     single = scratch.save(single)
-    state = scratch.save(single.join(single.select(F.col("n").alias("to"), F.lit(True).alias("goes")), "to", "left").select("n", "to", F.col("goes").isNull().alias("done")))
+    still = {"open": F.count_if(~F.col("done"))}
+    state, now = scratch.measured(single.join(single.select(F.col("n").alias("to"), F.lit(True).alias("goes")), "to", "left").select("n", "to", F.col("goes").isNull().alias("done")), **still)
     scratch.drop(single)
-    last = None
-    while True:
-        now = state.where("not done").agg(F.count("*"), F.count_distinct("to")).first()
-        if not now[0] or now == last:
-            break
-        last = now
-        moved = scratch.save(_jump(state, {"to": F.col("o_to"), "done": F.col("o_done")}, ~F.col("done")))
+    before, targets = None, None
+    while now["open"]:
+        if now == before:  # from here on only what leads into cycles is left
+            seen = state.where("not done").agg(F.count_distinct("to")).first()[0]
+            if seen == targets:
+                break
+            targets = seen
+        before = now
+        moved, now = scratch.measured(_jump(state, {"to": F.col("o_to"), "done": F.col("o_done")}, ~F.col("done")), **still)
         scratch.drop(state)
         state = moved
     return state.where("done").select("n", "to"), state.where("not done").select(F.col("to").alias("n")).distinct()
@@ -157,26 +161,25 @@ def euler_tour(forest: DataFrame, scratch: Scratch, names: bool = False) -> Data
     splits the children of a parent with very many, and the second pass ranks the list of weights up to the root.
     """
     state = scratch.save(forest.select("n", F.coalesce("p", "n").alias("to"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("size"), F.col("p").isNull().alias("done")))
-    step = 1
-    while True:
+    step, far = 1, not forest.where("p is not null").isEmpty()
+    while far:
         given = state.where(F.col("depth") == step).groupBy(F.col("to").alias("n")).agg(F.sum("size").alias("more"))
-        if state.where(F.col("depth") == step).isEmpty():
-            break
         grown = scratch.save(state.join(given, "n", "left").select("n", "to", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "done"))
-        moved = scratch.save(_jump(grown, {"to": F.col("o_to"), "depth": F.col("depth") + F.col("o_depth"), "done": F.col("o_done"), "size": F.col("size")}, ~F.col("done")))
+        moved, found = scratch.measured(_jump(grown, {"to": F.col("o_to"), "depth": F.col("depth") + F.col("o_depth"), "done": F.col("o_done"), "size": F.col("size")}, ~F.col("done")), far=F.count_if(F.col("depth") == 2 * step))
         scratch.drop(state, grown)
-        state, step = moved, 2 * step
+        state, step, far = moved, 2 * step, found["far"]
     kept = forest.select("n", "p", *(["name"] if names else []))
     sized = state.select("n", F.col("to").alias("root"), "depth", "size").join(kept, "n")
     scanned = scratch.save(range_scan(sized, ["p"], ["n"], scratch, sums=["size"]))
     weight = F.col("_sum_size") + F.when(F.col("p").isNull(), 0).otherwise(1)
     path = [F.array("name").alias("path")] if names else []
-    ranks = scratch.save(scanned.select("n", F.coalesce("p", "n").alias("to"), weight.alias("entry"), F.col("p").isNull().alias("done"), *path))
+    still = {"open": F.count_if(~F.col("done"))}
+    ranks, now = scratch.measured(scanned.select("n", F.coalesce("p", "n").alias("to"), weight.alias("entry"), F.col("p").isNull().alias("done"), *path), **still)
     fields = {"to": F.col("o_to"), "entry": F.col("entry") + F.col("o_entry"), "done": F.col("o_done")}
     if names:
         fields["path"] = F.concat("o_path", "path")
-    while not ranks.where("not done").isEmpty():
-        moved = scratch.save(_jump(ranks, fields, ~F.col("done")))
+    while now["open"]:
+        moved, now = scratch.measured(_jump(ranks, fields, ~F.col("done")), **still)
         scratch.drop(ranks)
         ranks = moved
     return scanned.select("n", "p", "root", "depth", "size").join(ranks.select("n", "entry", *(["path"] if names else [])), "n").select(

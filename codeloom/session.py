@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Settings that every operator relies on: results must not depend on the host's time zone, and plans are adapted at run time.
@@ -70,6 +70,13 @@ class Scratch:
         kept._scratch_path = path
         return kept
 
+    def measured(self, frame: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+        """``save``, and figures over the rows that were gathered while they were written, without another job."""
+        watch = Observation()
+        kept = self.save(frame.observe(watch, *[value.alias(name) for name, value in figures.items()]))
+        found = watch.get
+        return kept, {name: found.get(name) or 0 for name in figures}
+
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             path = getattr(frame, "_scratch_path", None)
