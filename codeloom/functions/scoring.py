@@ -152,3 +152,26 @@ def asset_match(name: Column, query: str) -> Column:
     """Score of an asset's name; null if it does not contain the query."""
     q, c = query.lower(), F.lower(name)
     return F.when(c == q, 1.0).when(c.startswith(q), 0.95).when(c.contains(q), 0.85)
+
+
+def plain_match(name: Column, query: str) -> Column:
+    """The older likeness of a name: rungs as for types, with less for a match that begins later, then the words of the
+    query, then half the likeness by edit distance; null where that is too small. Rounded to six digits."""
+    q, qs = query.lower(), (query[1:] if query[:1] in "UAFES" and query else query).lower()
+    c, cs = F.lower(name), F.lower(F.regexp_replace(name, "^[UAFES]", ""))
+    later = lambda text, part, top: F.lit(top) - (F.instr(text, part) - 1) / F.length(text) * 0.15
+    words = q.split()
+    hit = lambda w: F.when(cs.startswith(w), 0.6).when(cs.contains(w), 0.4).otherwise(0.0) / len(words)
+    by_word = reduce(lambda a, b: a + b, [hit(w) for w in words], F.lit(0.0))
+    alike = F.lit(1.0) - F.levenshtein(cs, F.lit(qs)) / F.greatest(F.length(cs), F.lit(len(qs)))
+    score = (
+        F.when(c == q, 1.0).when(cs == qs, 0.98).when(c.startswith(q), 0.95).when(cs.startswith(qs), 0.93).when(cs.startswith(q), 0.92)
+        .when(c.contains(q), later(c, q, 0.85)).when(cs.contains(qs), later(cs, qs, 0.80)).when(cs.contains(q), later(cs, q, 0.75))
+        .when(by_word > 0.3, by_word).when(alike > (0.25 if len(query) < 5 else 0.35), alike * 0.5)
+    )
+    return F.round(score, 6)
+
+
+def near_jaccard(matched: Column, length: Column, query_grams: int) -> Column:
+    """Likeness by counts alone: shared trigrams over the larger of the query's and what a name of that length may have."""
+    return F.round(matched / F.greatest(F.lit(query_grams), F.lit(1), length - 2) * 0.7, 6)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.skew import range_scan
+from codeloom.session import Scratch
+
 
 def query_log(events: DataFrame) -> DataFrame:
     """Events as a query log: ``id``, ``timestamp``, ``method``, ``args``, ``duration_ms``, ``result_count``."""
@@ -66,11 +69,11 @@ def overall(log: DataFrame) -> DataFrame:
 
 def latencies(log: DataFrame) -> DataFrame:
     """Per method the smallest, largest and mean time and exact percentiles: the value at place floor(share * n) of the
-    times in order. The places are found by numbering the times, so a method with very many calls is sorted, not
-    gathered; equal times are counted before they are numbered."""
+    times in order. Equal times are counted first; the places come from a sorted scan that splits a method with very
+    many different times over partitions."""
     counted = log.groupBy("method", "duration_ms").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("method").orderBy("duration_ms")
-    placed = counted.withColumn("upto", F.sum("k").over(w)).withColumn("total", F.sum("k").over(Window.partitionBy("method")))
+    scanned = range_scan(counted, ["method"], ["duration_ms"], Scratch(log.sparkSession, "latencies"), sums=["k"])
+    placed = scanned.withColumn("upto", F.col("_sum_k") + F.col("k")).join(log.groupBy("method").agg(F.count("*").alias("total")), "method")
     at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("total") * share), F.col("duration_ms")))
     return placed.groupBy("method").agg(
         F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"), F.round(F.sum(F.col("duration_ms") * F.col("k")) / F.sum("k"), 6).alias("mean_ms"),

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import names, scoring, trigrams
 from codeloom.functions.names import PREFIXES
+from codeloom.operators.skew import range_scan
+from codeloom.session import Scratch
 
 SOURCE_LANGUAGES = (None, "all", "angelscript", "cpp")
 ASSET_LANGUAGES = (None, "all", "blueprint")
@@ -218,12 +220,16 @@ def synthetic_members(found: DataFrame, ancestors: DataFrame, containing: str, q
 def members_of(members: DataFrame, types: DataFrame, type_name: str, max_functions: int = 30, max_properties: int = 30) -> DataFrame:
     """The members of all declarations of a type, in three buckets: the first functions, the first properties and all
     enum values by id; ``n_in_bucket`` is the bucket's whole size, so a larger one was cut."""
-    own = members.dropDuplicates(["id"]).join(types.where(F.col("name") == type_name).select(F.col("id").alias("type_id")), "type_id", "left_semi")
+    scratch = Scratch(members.sparkSession, "members")
     bucket = F.when(F.col("member_kind").isin("function", "method"), "function").when(F.col("member_kind") == "enum_value", "enum_value").otherwise("property")
-    w = Window.partitionBy("bucket")
-    numbered = own.withColumn("bucket", bucket).withColumn("n", F.row_number().over(w.orderBy("id"))).withColumn("n_in_bucket", F.count("*").over(w))
-    limit = F.when(F.col("bucket") == "function", max_functions).when(F.col("bucket") == "property", max_properties)
-    return numbered.where(limit.isNull() | (F.col("n") <= limit)).select("bucket", "n", "id", "name", "member_kind", "line", "is_static", "specifiers", "n_in_bucket")
+    own = members.dropDuplicates(["id"]).join(types.where(F.col("name") == type_name).select(F.col("id").alias("type_id")), "type_id", "left_semi")
+    own = scratch.save(own.select(bucket.alias("bucket"), "id", "name", "member_kind", "line", "is_static", "specifiers"))
+    sizes = own.groupBy("bucket").agg(F.count("*").alias("n_in_bucket"))
+    parts = [top(own.where(F.col("bucket") == b), [F.col("id")], limit, "n") for b, limit in (("function", max_functions), ("property", max_properties))]
+    values = range_scan(own.where("bucket = 'enum_value'"), ["bucket"], ["id"], scratch)
+    parts.append(values.withColumn("n", (F.col("_pos") + 1).cast("int")).drop("_pos"))
+    numbered = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return numbered.join(F.broadcast(sizes), "bucket").select("bucket", "n", "id", "name", "member_kind", "line", "is_static", "specifiers", "n_in_bucket")
 
 
 def find_file(files: DataFrame, types: DataFrame, query: str, options: Options = Options(max_results=20), max_types: int = 10) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import core_problems, graph_queries, index_queries, ingest_queries, search_queries
+from codeloom.plans import core_problems, graph_queries, index_queries, ingest_queries, lookup_queries, search_queries
 
-MODULES = [core_problems, search_queries, graph_queries, index_queries, ingest_queries]
+MODULES = [core_problems, search_queries, graph_queries, index_queries, ingest_queries, lookup_queries]
 
 
 def queries() -> dict:
