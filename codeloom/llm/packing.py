@@ -21,6 +21,9 @@ from codeloom.llm.tokens import encode_corpus
 from codeloom.operators.skew import range_scan
 from codeloom.session import Scratch
 
+RESULT = "budget_id int, container_id long, doc_id long, piece_no long, token_from long, n_tokens long"
+#: Budgets that are packed at once.
+MOST_BUDGETS = 1000
 PLAN = "budget_id int, size long, rank_from long, per_container long, container_from long"
 
 
@@ -83,14 +86,14 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(budget, *r) for r in rows], columns=["budget_id", "size", "rank_from", "per_container", "container_from"])
 
 
-def pieces(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
+def pieces(sizes: DataFrame, budgets: list[tuple[int, int]]) -> DataFrame:
     """What is to be packed for each budget: a text as one piece, or, only if it exceeds the capacity, as full pieces and
-    the rest. ``sizes``: ``doc_id``, ``n_tokens``; ``budgets`` (a fixed small table): ``budget_id``, ``capacity``."""
+    the rest. ``sizes``: ``doc_id``, ``n_tokens``; ``budgets``: the (id, capacity) of each."""
+    every = F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("long").alias("capacity")) for b, c in budgets])
+    each = sizes.withColumn("b", F.explode(every)).select("doc_id", "n_tokens", "b.budget_id", "b.capacity")
     many = F.ceil(F.col("n_tokens") / F.col("capacity")) - 1
-    return (
-        sizes.crossJoin(F.broadcast(budgets.select("budget_id", F.col("capacity").cast("long").alias("capacity"))))
-        .withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(many, F.lit(0).cast("long")))))
-        .select("budget_id", "capacity", "doc_id", "piece_no", F.least("capacity", F.col("n_tokens") - F.col("piece_no") * F.col("capacity")).alias("size"))
+    return each.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(many, F.lit(0).cast("long"))))).select(
+        "budget_id", "capacity", "doc_id", "piece_no", F.least("capacity", F.col("n_tokens") - F.col("piece_no") * F.col("capacity")).alias("size")
     )
 
 
@@ -100,12 +103,17 @@ def pack(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     Every row of ``sizes`` (``doc_id``, ``n_tokens``) comes out once per budget, or once per piece if it is longer than
     the capacity; no container holds more than the capacity. A null size counts as 0. Texts of equal size are placed in
     the order of their ids. A budget whose capacity is null or below 1 gets no rows; no texts or no budgets give none.
-    Repeated ids are packed each.
+    Repeated ids are packed each. ``budgets`` is a small fixed table and read to the driver; more than ``MOST_BUDGETS``
+    are an error.
     """
     scratch = Scratch(sizes.sparkSession, "packing")
-    budgets = budgets.where("capacity >= 1").select("budget_id", "capacity").dropDuplicates(["budget_id"])
+    listed = [tuple(r) for r in budgets.where("budget_id is not null and capacity >= 1").groupBy("budget_id").agg(F.min("capacity")).orderBy("budget_id").limit(MOST_BUDGETS + 1).collect()]
+    if len(listed) > MOST_BUDGETS:
+        raise ValueError(f"more than {MOST_BUDGETS} budgets")
+    if not listed:
+        return sizes.sparkSession.createDataFrame([], RESULT)
     sizes = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    items = scratch.save(pieces(sizes, budgets))
+    items = scratch.save(pieces(sizes, listed))
     counts = items.groupBy("budget_id", "capacity", "size").agg(F.count("*").alias("n"))  # at most capacity + 1 rows a budget
     plan = scratch.save(counts.groupBy("budget_id").applyInPandas(_plan, PLAN))
     ranked = range_scan(items.select("budget_id", "size", "capacity", "doc_id", "piece_no"), ["budget_id", "size"], ["doc_id", "piece_no"], scratch)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.skew import heavy_light_join
 from codeloom.session import Scratch
 
 #: Canonical lines per original line, and characters per original line, from which a file counts as minified.
@@ -28,6 +29,9 @@ MIN_CODE = 200
 #: Share of the files with one identifier prefix that are known to be third party, from which the others are too.
 PREFIX_SHARE = 0.5
 
+#: A prefix or a text on more than this share of all files is joined by broadcast; at most its inverse are.
+HEAVY_SHARE = 0.002
+
 # Folders that hold other people's code, by the names in general use.
 THIRD_PARTY_FOLDERS = (
     "3rdparty", "3rd_party", "3rd-party", "thirdparty", "third_party", "third-party", "vendor", "vendored", "extern", "externals",
@@ -84,7 +88,7 @@ _LEX = re.compile(
     re.DOTALL,
 )
 _PREFIX = re.compile(r"\b([a-z][a-z0-9]{1,11})_[a-z0-9_]+\b")
-FIELDS = "tool boolean, licence boolean, minified boolean, blob boolean, uniform double, expansion double, literal double, prefix string"
+FIELDS = "h long, size int, tool boolean, licence boolean, minified boolean, blob boolean, uniform double, expansion double, literal double, prefix string"
 
 
 def layout(text: str) -> dict:
@@ -151,7 +155,8 @@ def layout(text: str) -> dict:
 def _features(batches: Iterable[pd.DataFrame]):
     for batch in batches:
         rows = [layout(t) for t in batch["content"]]
-        yield pd.concat([batch[["file_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")])], axis=1)
+        names = [f.split()[0] for f in FIELDS.split(", ")[2:]]
+        yield pd.concat([batch[["file_id", "h", "size"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
 
 def _segment(path, names) -> F.Column:
@@ -181,11 +186,9 @@ def provenance(files: DataFrame, content: DataFrame) -> DataFrame:
     file's or if nearly all files with its identifier prefix are third party.
     """
     scratch = Scratch(files.sparkSession, "provenance")
-    texts = content.where("content is not null").select("file_id", "content")
+    texts = content.where("content is not null and file_id is not null").select("file_id", "content", F.xxhash64("content").alias("h"), F.length("content").alias("size"))
     figures = texts.mapInPandas(_features, f"file_id long, {FIELDS}")
-    hashes = content.where("content is not null").select("file_id", F.xxhash64("content").alias("h"), F.length("content").alias("size"))
-    judged = path_evidence(files.dropDuplicates(["id"])).withColumnRenamed("id", "file_id")
-    judged = judged.join(figures, "file_id", "left").join(hashes, "file_id", "left")
+    judged = path_evidence(files.dropDuplicates(["id"])).withColumnRenamed("id", "file_id").join(figures, "file_id", "left")
     judged = scratch.save(
         judged.withColumn(
             "origin",
@@ -196,13 +199,20 @@ def provenance(files: DataFrame, content: DataFrame) -> DataFrame:
             .otherwise("hand"),
         )
     )
-    foreign = F.col("origin") == "third_party"
-    prefixes = judged.where("prefix is not null").groupBy("prefix").agg(F.avg(foreign.cast("double")).alias("share")).where(F.col("share") >= PREFIX_SHARE).select("prefix", F.lit(True).alias("known_prefix"))
-    copies = judged.where(foreign & F.col("h").isNotNull() & (F.col("size") > 0)).select("h", "size", F.lit(True).alias("known_copy")).distinct()
-    open_cases = judged.where("origin = 'hand'").join(prefixes, "prefix", "left").join(copies, ["h", "size"], "left")
-    open_cases = open_cases.withColumn("origin", F.when(F.coalesce("known_prefix", "known_copy", F.lit(False)), "third_party").otherwise("hand"))
+    # What is known of a prefix or a text is worked out once for each; those on many files are then joined by broadcast.
+    limit = max(1, int(judged.count() * HEAVY_SHARE))
+    keyed = judged.withColumn("same", F.when(F.col("size") > 0, F.concat_ws(":", "h", "size")))
+    open_files, known = judged.where("origin = 'hand'"), []
+    for name, share in (("prefix", PREFIX_SHARE), ("same", 0.0)):
+        held = keyed.where(F.col(name).isNotNull()).select("file_id", "origin", F.col(name).alias("key"))
+        groups = held.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("origin") == "third_party").alias("k"))
+        groups = scratch.save(groups.where((F.col("k") > 0) & (F.col("k") >= F.col("n") * share)).select("key", "n"))
+        heavy = [r[0] for r in groups.where(F.col("n") > limit).select("key").collect()]  # at most 1 / HEAVY_SHARE
+        known.append(heavy_light_join(held.where("origin = 'hand'"), groups.select("key"), "key", heavy, "left_semi").select("file_id"))
+    third = known[0].union(known[1]).distinct().withColumn("known", F.lit(True))
+    open_files = open_files.join(third, "file_id", "left").withColumn("origin", F.when(F.col("known"), "third_party").otherwise("hand"))
     columns = ["file_id", "origin", "uniform", "expansion", "literal"]
-    return judged.where("origin <> 'hand'").select(*columns).unionByName(open_cases.select(*columns))
+    return judged.where("origin <> 'hand'").select(*columns).unionByName(open_files.select(*columns))
 
 
 def not_hand_written(files: DataFrame, content: DataFrame) -> DataFrame:
