@@ -19,6 +19,10 @@ from pyspark.sql import types as T
 from codeloom.session import Scratch, partitions
 
 
+#: Partial states that an input partition gathers before it passes them on, so that very many keys do not pile up.
+HELD = 100_000
+
+
 def _starts(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     """True where a row's key differs from the row above; nulls are equal to each other."""
     changed = np.zeros(batch.num_rows, dtype=bool)
@@ -44,6 +48,9 @@ def _combine(keys: list[str], order: str):
             part = rows.group_by(keys).aggregate([(order, "count", pa.compute.CountOptions("all")), (order, "min"), (order, "max")])
             part = part.select([*keys, f"{order}_count", f"{order}_min", f"{order}_max"]).rename_columns([*keys, "n", "low", "high"])
             held = part if held is None else _merge(pa.concat_tables([held, part]), keys)
+            if len(held) > HELD:
+                yield from held.to_batches()
+                held = None
         if held is not None:
             yield from held.to_batches()
 
@@ -80,7 +87,7 @@ def _fold(keys: list[str]):
 def summarise_by_key(rows: DataFrame, keys: Sequence[str], order: str, scratch: Scratch, parts: int | None = None) -> DataFrame:
     """Rows, smallest and largest ``order`` of each key: columns ``keys``, ``n`` (long), ``low``, ``high``.
 
-    Null is a key of its own (as in GROUP BY); an ``order`` that is null counts in ``n`` but in neither end; an
+    ``keys`` may not be named ``n``, ``low``, ``high`` or ``edge``. Null is a key of its own (as in GROUP BY); an ``order`` that is null counts in ``n`` but in neither end; an
     empty input gives no rows; repeated rows count each. Other columns of the input are not read. ``order`` is a long.
 
     Every input partition first folds its rows to one state per key it holds. The states are placed by sampled
