@@ -30,6 +30,8 @@ UNIT_WORDS = 100
 
 #: A unit of at least so many words repeats itself if distinct ones make up no more than this share of them.
 LOOP_WORDS, LOOP_SHARE = 12, 0.15
+#: A line of more words than that without any punctuation is no running text.
+RUN_ON = 36
 #: A unit of as many words is word salad if common words make up more than SALAD + SPREAD / sqrt(words) of them, and no
 #: language at all if they make up less than BARE.
 SALAD, SPREAD, BARE = 0.58, 0.35, 0.08
@@ -50,6 +52,7 @@ _TABLE = re.compile(r"\t|\||\S {3,}\S|;(?=\S)|,(?=[^\s\d\"'”’»)])|(?<=\s)/(
 _CELL = re.compile(r"[\t|;]| {3,}|</?\w+[^>]*>|\s/\s|,(?=\S)")
 _NAME = re.compile(r"[A-Za-z]\w*(?:\(\))?[.,;:!?]*\Z")
 _LEAD = re.compile(r"[\"'“(]?[A-Z][a-z]+ed\s+\S")
+_STOP = re.compile(r"[.,;:!?…]")
 _DIGIT = re.compile(r"\d")
 _CODE = re.compile(r"[;{}]\s*\Z|^\s*#(?:include|pragma|define|if|endif)|^\s*\w+\(\)\s*\Z")
 _LOG = re.compile(r"\s*(?:[<\[(]?\d+[>\])]\s*)?[\[(]?(?:\d{1,4}[-./]\d{1,2}[-./]\d{1,4}[-T ]?)?\d{1,2}[:.]\d\d[:.]\d\d|\s*(?:at|File) \S+[:(]+\S*\d|\s*[0-9a-fA-F]{6,}\s")
@@ -77,7 +80,7 @@ def _vote(value: float, yes, no) -> int:
 def _votes(unit: str, common: frozenset, place: str) -> tuple[int, int, int]:
     """(votes as a number to the base 3, words, common words); 2 is an abstention."""
     size = _solid(unit) or 1
-    if place == "code":
+    if place in ("code", "heap"):
         return 0, len(unit.split()), sum(w.lower() in common for w in _WORD.findall(unit))
     symbols = len(_SYMBOL.findall(unit)) / size
     digits = len(_DIGIT.findall(unit)) / size
@@ -151,7 +154,8 @@ def _running(line: str) -> bool:
 
 
 def units(text: str) -> list[tuple[str, str]]:
-    """The units of a text, each with its place: ``text``, ``entry`` (of a list) or ``code`` (a comment among code)."""
+    """The units of a text, each with its place: ``text``, ``entry`` (of a list), ``code`` (a comment among code) or
+    ``heap`` (a line of very many words without punctuation)."""
     out: list[tuple[str, str]] = []
     block: list[str] = []
     place, mark_before, after_code = "text", None, False
@@ -176,7 +180,10 @@ def units(text: str) -> list[tuple[str, str]]:
         mark_before = mark.strip()
         if bullet:
             line = line[bullet.end() :]
-        if _running(line):
+        if not _STOP.search(line) and len(words := line.split()) > RUN_ON and not _CJK.search(line):
+            flush()
+            out.extend((" ".join(words[k : k + UNIT_WORDS]), "heap") for k in range(0, len(words), UNIT_WORDS))
+        elif _running(line):
             if not block:
                 place = "entry" if bullet else "code" if after_code and mark.strip() else "text"
             block.append(line.strip())
