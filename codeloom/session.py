@@ -51,6 +51,9 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_ROOTS: list[str] = []
+
+
 class Scratch:
     """Tables written to the shared folder, so that iterations neither recompute nor depend on one executor's disk.
 
@@ -60,6 +63,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str = "work"):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        _ROOTS.append(self.root)
         self._count = 0
 
     def save(self, frame: DataFrame) -> DataFrame:
@@ -85,20 +89,8 @@ class Scratch:
                 jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def is_empty(frame: DataFrame) -> bool:
-    return frame.limit(1).count() == 0
-
-
-def fresh(name: str, taken: list[str]) -> str:
-    """A column name that no column of ``taken`` has (letter case aside), for inputs with extra columns of any name."""
-    low = {x.lower() for x in taken}
-    while name.lower() in low:
-        name = "_" + name
-    return name
-
-
-def col(name: str):
-    """The column of exactly this name, dots and all."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
+def release(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this process. Results that were not written yet cannot be read after that."""
+    while _ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
