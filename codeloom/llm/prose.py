@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -73,6 +74,12 @@ _VERB_END = re.compile(r"(?:[^s]s|ed|[^\W\d_]t|[aeé]n?)\Z")
 _JAPANESE_VERB = re.compile("(?:る|た|い|す|う|く|ん|ます|です|だ)[。！？」]?\\s*\\Z")
 
 
+@lru_cache(maxsize=65_536)
+def _token(token: str) -> int:
+    """1 for a plain word, 2 for a name as in code, 3 for both, 0 for neither. Texts repeat their words."""
+    return int(bool(_PLAIN.match(token)) and not _CAMEL.search(token)) + 2 * int(bool(_NAME.match(token)))
+
+
 def _vote(value: float, yes, no) -> int:
     return 1 if yes(value) else 0 if no(value) else 2
 
@@ -95,8 +102,8 @@ def _votes(unit: str, common: frozenset, place: str) -> tuple[int, int, int]:
     else:
         tokens = unit.split()
         n = len(tokens) or 1
-        words = [w.lower().replace("’", "'") for w in _WORD.findall(unit)]
-        n_common = sum(w in common for w in words)
+        words = _WORD.findall(unit.lower().replace("’", "'"))
+        n_common = sum(map(common.__contains__, words))
         if n >= LOOP_WORDS and len(set(words)) <= LOOP_SHARE * n:
             return 0, n, n_common  # the same few words over and over: every function says no
         share = n_common / n
@@ -105,7 +112,8 @@ def _votes(unit: str, common: frozenset, place: str) -> tuple[int, int, int]:
         verb = _has_verb(unit, words, common)
         if place == "entry" and not verb:
             return 0, n, n_common  # an entry of a list that names something
-        plain = sum(bool(_PLAIN.match(t) and not _CAMEL.search(t)) or bool(verb and _NAME.match(t)) for t in tokens) / n
+        kinds = list(map(_token, tokens))
+        plain = (n - kinds.count(0) if verb else kinds.count(1) + kinds.count(3)) / n
     last = unit.rstrip("\"'”’»)]*_ \t")[-1:]
     votes = (
         _vote(n, lambda x: x >= 7, lambda x: x <= 4),
@@ -149,7 +157,7 @@ def _running(line: str) -> bool:
         return False
     if len(_CJK.findall(line)) * 3 >= len(line):
         return True
-    plain = sum(bool(_PLAIN.match(t)) and not _CAMEL.search(t) for t in tokens)
+    plain = sum(_token(t) & 1 for t in tokens)
     return plain >= 0.6 * len(tokens) and len(_TABLE.findall(line)) <= 0.05 * len(tokens)
 
 
