@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import accessor_core, camel_words, compound_share, equal_share, slashes, split_camel, strip_loose
@@ -86,12 +87,30 @@ def is_definition(line: Column) -> Column:
     return F.coalesce(~comment & line.rlike("|".join(f"(?:{p})" for p in DEFINITIONS)), F.lit(False))
 
 
-def type_match(name: Column, kind: Column, depth: Column, query: str) -> tuple[Column, Column]:
-    """(score, reason) of a type's name for a fuzzy query: the first rung that fits, then the getter-setter form, then
-    what kind and depth add. Rounded to six digits."""
+def _ladder(rungs: list[tuple[Column, Column | float, str]], otherwise: Column | float) -> tuple[Column, Column]:
+    """(score, reason) of the first rung that fits."""
+    score, reason = F.when(F.lit(False), F.lit(0.0)), F.when(F.lit(False), "")
+    for condition, points, label in rungs:
+        score, reason = score.when(condition, points), reason.when(condition, label)
+    return score.otherwise(otherwise), reason.otherwise("trigram")
+
+
+def _changed(frame: DataFrame, steps: list[tuple[Column, Column, Column]]) -> DataFrame:
+    """``score`` and ``match_reason`` after the first step (condition, score, reason) that fits."""
+    score, reason = F.when(F.lit(False), F.lit(0.0)), F.when(F.lit(False), "")
+    for condition, points, label in steps:
+        score, reason = score.when(condition, points), reason.when(condition, label)
+    return frame.withColumns({"score": score.otherwise(F.col("score")), "match_reason": reason.otherwise(F.col("match_reason"))})
+
+
+def score_types(frame: DataFrame, query: str) -> DataFrame:
+    """``frame`` (``name``, ``kind``, ``depth``) with ``score`` and ``match_reason`` for a fuzzy query: the first rung that
+    fits, then the getter-setter form, then what kind and depth add. Rounded to six digits. Each stage is a column of
+    its own, so that no expression is repeated inside another."""
     q, qs = query.lower(), (query[1:] if query[:1] in "UAFESI" and query else query).lower()
-    c, cs = F.lower(name), F.lower(strip_loose(name))
     words = camel_words(query)
+    c, cs, share, core = (F.col(x) for x in ("_c", "_cs", "_share", "_core"))
+    own = {"_c": F.lower("name"), "_cs": F.lower(strip_loose(F.col("name"))), "_core": accessor_core(F.lower("name"))}
     rungs = [
         (c == q, 1.0, "exact"),
         (cs == qs, 0.98, "exact-stripped"),
@@ -102,38 +121,35 @@ def type_match(name: Column, kind: Column, depth: Column, query: str) -> tuple[C
         (c.contains(q), 0.85, "substring"),
         (cs.contains(qs), 0.80, "substring-stripped"),
     ]
+    frame = frame.withColumns(own)
     if len(words) >= 2:
-        own = split_camel(name)
-        share = F.greatest(equal_share(own, words), compound_share(own, words))
+        frame = frame.withColumn("_words", split_camel(F.col("name")))
+        frame = frame.withColumn("_share", F.greatest(equal_share(F.col("_words"), words), compound_share(F.col("_words"), words)))
         rungs += [(share >= 1, 0.70, "word-match-all"), (share >= 0.66, 0.50, "word-match-most"), (share >= 0.5, 0.40, "word-match-some"), (share > 0, 0.30, "word-match-few")]
-    score, reason = F.when(F.lit(False), 0.0), F.when(F.lit(False), "")
-    for condition, points, label in rungs:
-        score, reason = score.when(condition, points), reason.when(condition, label)
-    score, reason = score.otherwise(0.30), reason.otherwise("trigram")
-    import re
-
-    qc = re.sub("^(get|set|is|has|can|should)", "", q)
-    cc = accessor_core(c)
-    if qc and qc != q:
-        same, part = (score < 0.85) & (cc == qc), (score < 0.85) & cc.contains(qc)
-        reason = F.when(same, "getter-setter").when(part & (reason == "trigram"), "getter-setter-partial").otherwise(reason)
-        score = F.when(same, F.greatest(score, F.lit(0.88))).when(part, F.greatest(score, F.lit(0.75))).otherwise(score)
-    bonus = kind_weight(kind) + F.when(depth.isNotNull(), F.greatest(F.lit(0.0), F.lit(0.03) - depth * 0.005)).otherwise(0.0)
-    return F.round(score + bonus, 6), reason
-
-
-def member_match(name: Column, specifiers: Column, query: str) -> tuple[Column, Column]:
-    """(score, reason) of a member's name for a fuzzy query, with what its specifiers add. Rounded to six digits."""
-    q, c, words = query.lower(), F.lower(name), camel_words(query)
-    tail = F.round(jaccard(trigrams(name), F.array(*[F.lit(t) for t in trigram_list(query)])) * 0.7, 9) if len(q) >= 3 else F.lit(0.0)
-    score = F.when(c == q, 1.0).when(c.startswith(q), 0.95).when(c.contains(q), 0.85).when(F.lit(q).contains(c) & (c != ""), 0.8).otherwise(tail)
-    reason = F.when(c == q, "exact").when(c.startswith(q), "prefix").when(c.contains(q), "substring").when(F.lit(q).contains(c) & (c != ""), "reverse-substring").otherwise("trigram")
+    score, reason = _ladder(rungs, 0.30)
+    frame = frame.withColumns({"score": score, "match_reason": reason})
+    bare = re.sub("^(get|set|is|has|can|should)", "", q)
+    if bare and bare != q:
+        low, now, why = F.col("score") < 0.85, F.col("score"), F.col("match_reason")
+        part = F.when(why == "trigram", "getter-setter-partial").otherwise(why)
+        frame = _changed(frame, [(low & (core == bare), F.greatest(now, F.lit(0.88)), F.lit("getter-setter")), (low & core.contains(bare), F.greatest(now, F.lit(0.75)), part)])
+    bonus = kind_weight(F.col("kind")) + F.when(F.col("depth").isNotNull(), F.greatest(F.lit(0.0), F.lit(0.03) - F.col("depth") * 0.005)).otherwise(0.0)
+    return frame.withColumn("score", F.round(F.col("score") + bonus, 6)).drop(*own, "_words", "_share")
+
+
+def score_members(frame: DataFrame, query: str) -> DataFrame:
+    """``frame`` (``name``, ``specifiers``) with ``score`` and ``match_reason`` for a fuzzy query, and what the specifiers
+    add. Rounded to six digits."""
+    q, words, c = query.lower(), camel_words(query), F.col("_c")
+    tail = F.round(jaccard(trigrams(F.col("name")), F.array(*[F.lit(t) for t in trigram_list(query)])) * 0.7, 9) if len(q) >= 3 else F.lit(0.0)
+    frame = frame.withColumns({"_c": F.lower("name"), "_tail": tail})
+    score, reason = _ladder([(c == q, 1.0, "exact"), (c.startswith(q), 0.95, "prefix"), (c.contains(q), 0.85, "substring"), (F.lit(q).contains(c) & (c != ""), 0.8, "reverse-substring")], F.col("_tail"))
+    frame = frame.withColumns({"score": score, "match_reason": reason})
     if len(words) >= 2:
-        share = compound_share(split_camel(name), words)
-        all_, most = (score < 0.7) & (share >= 1), (score < 0.5) & (share >= 0.66)
-        reason = F.when(all_, "word-match-all").when(most, "word-match-most").otherwise(reason)
-        score = F.when(all_, 0.7).when(most, 0.5).otherwise(score)
-    return F.round(score + specifier_boost(specifiers), 6), reason
+        frame = frame.withColumn("_share", compound_share(split_camel(F.col("name")), words))
+        now, share = F.col("score"), F.col("_share")
+        frame = _changed(frame, [((now < 0.7) & (share >= 1), F.lit(0.7), F.lit("word-match-all")), ((now < 0.5) & (share >= 0.66), F.lit(0.5), F.lit("word-match-most"))])
+    return frame.withColumn("score", F.round(F.col("score") + specifier_boost(F.col("specifiers")), 6)).drop("_c", "_tail", "_share")
 
 
 def file_match(path: Column, basename: Column, query: str) -> Column:

@@ -150,8 +150,7 @@ def find_type_fuzzy(types: DataFrame, files: DataFrame, assets: DataFrame, query
         rows = chosen(assets.where(F.col("asset_class").isNotNull() & low.contains(q)), project=options.project)
         parts.append(rows.select("id", "name", F.lit("class").alias("kind"), F.col("parent_class").alias("parent"), F.lit(0).alias("line"), F.col("content_path").alias("path"), "project", F.lit(None).cast("int").alias("depth"), F.lit(1).alias("is_asset")))
     every = reduce(DataFrame.unionByName, parts)
-    score, reason = scoring.type_match(F.col("name"), F.col("kind"), F.col("depth"), query)
-    scored = every.withColumn("score", score).withColumn("match_reason", reason).where("score >= 0.4")
+    scored = scoring.score_types(every, query).where("score >= 0.4")
     scored = scored.withColumn("structure", scoring.structural_score(F.col("parent"), F.col("path")))
     # Merging duplicates before the cut needs an order within a name and kind only.
     within = Window.partitionBy("name", "kind").orderBy(F.col("score").desc(), "is_asset", "id")
@@ -198,8 +197,7 @@ def find_member_fuzzy(members: DataFrame, types: DataFrame, files: DataFrame, qu
     flagged = rows.where(F.col("near") | deep)
     near = flagged.agg(F.count_if("near").alias("n_near"))
     rows = flagged.join(F.broadcast(near)).where(F.col("near") | (F.col("n_near") < options.max_results))
-    score, reason = scoring.member_match(F.col("name"), F.col("specifiers"), query)
-    scored = rows.withColumn("score", score).withColumn("match_reason", reason).where("score >= 0.15")
+    scored = scoring.score_members(rows, query).where("score >= 0.15")
     return _ranked(scored, [F.col("score").desc(), F.col("id")], options.max_results).select("rank", *MEMBER_COLUMNS, "score", "match_reason")
 
 
