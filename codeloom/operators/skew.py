@@ -8,6 +8,7 @@ belong to a key that continues next door, and those few states (two per partitio
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,8 @@ def heavy_keys(summary: DataFrame, total: DataFrame, keys: Sequence[str], share:
     """The keys of a summary whose ``n`` is at least ``share`` of ``total.total`` (joined on the columns both have)."""
     on = [c for c in total.columns if c != "total" and c in keys]
     joined = summary.join(F.broadcast(total), on) if on else summary.crossJoin(F.broadcast(total))
-    return joined.where((F.col("n") >= F.lit(share) * F.col("total")) & (F.col("total") > 0))
+    exact = Fraction(str(share))  # whole numbers, so that a key on exactly the share is heavy
+    return joined.where((F.col("n") * exact.denominator >= F.col("total") * exact.numerator) & (F.col("total") > 0))
 
 
 def _scan(keys: list[str], sums: list[str], fills: list[str]):
