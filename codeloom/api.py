@@ -265,9 +265,11 @@ def route_command(command: str) -> tuple[str, dict] | None:
 
 
 def register(spark: SparkSession, directory: str, names=("files", "types", "members", "assets", "file_content")) -> None:
-    """Makes the tables views, and the name functions SQL functions (``trigrams``, ``strip_prefix``, ``camel_words``)."""
+    """Makes the tables views, and the name functions SQL functions (``trigrams``, ``strip_prefix``, ``camel_words``; as tables ``children_of`` and ``lines_of``)."""
     for name in names:
         table(spark, directory, name).createOrReplaceTempView(name)
     spark.sql("create or replace temporary function strip_prefix(x string) returns string return regexp_replace(x, '^[UAFESI](?=[A-Z])', '')")
     spark.sql("create or replace temporary function trigrams(x string) returns array<string> return case when length(x) >= 3 then array_distinct(transform(sequence(1, length(x) - 2), i -> substring(lower(x), i, 3))) else cast(array() as array<string>) end")
+    spark.sql("create or replace temporary function children_of(p string) returns table (name string, kind string) return select name, kind from types where parent = children_of.p union all select name, 'class' from assets where asset_class is not null and parent_class in (children_of.p, strip_prefix(children_of.p))")
+    spark.sql("create or replace temporary function lines_of(f bigint) returns table (line int, text string) return select pos + 1, col from (select posexplode(split(content, '\\n')) from file_content where file_id = lines_of.f)")
     spark.sql("create or replace temporary function camel_words(x string) returns array<string> return filter(split(lower(regexp_replace(regexp_replace(strip_prefix(x), '([A-Z]+)([A-Z][a-z])', '$1 $2'), '([a-z])([A-Z])', '$1 $2')), ' +'), w -> w <> '')")

@@ -33,7 +33,7 @@ def grep(content: DataFrame, files: DataFrame, pattern: str, regex: bool = True,
     from 1, of the first match), ``match``, ``context`` (the lines around it, empty without). One row per line.
 
     Texts that lack a literal run of the pattern are dropped before they are split; the lines of a text are an array
-    that is cut for the context, so no shuffle or self-join is needed for it. A pattern that is no regular expression
+    that is cut for the context, so no shuffle or self-join is needed for it, and only matching lines become rows. A pattern that is no regular expression
     is an error. Null texts have no lines.
     """
     body = pattern if regex else re.escape(pattern)
@@ -45,9 +45,11 @@ def grep(content: DataFrame, files: DataFrame, pattern: str, regex: bool = True,
         hay = F.col("content") if case_sensitive else F.lower("content")
         rows = rows.where(reduce(lambda a, b: a & b, [hay.contains(n if case_sensitive else n.lower()) for n in needed]))
     lines = rows.where(F.col("content").rlike("(?m)" + body if not body.startswith("(?i)") else "(?im)" + body[4:])).select("file_id", F.split("content", "\n").alias("lines"))
-    each = lines.select("file_id", "lines", F.posexplode("lines").alias("at", "match")).where(F.col("match").rlike(body))
-    around = F.slice("lines", F.greatest(F.col("at") + 1 - context, F.lit(1)), F.col("at") + 1 + context - F.greatest(F.col("at") + 1 - context, F.lit(1)) + 1)
-    hits = each.select("file_id", (F.col("at") + 1).alias("line"), F.regexp_instr("match", F.lit(body)).alias("column"), "match", (around if context else F.array().cast("array<string>")).alias("context"))
+    text_at = lambda i: F.get(F.col("lines"), i - 1)
+    each = lines.select("file_id", "lines", F.explode(F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: text_at(i).rlike(body))).alias("line"))
+    begin = F.greatest(F.col("line") - context, F.lit(1))
+    around = F.slice("lines", begin, F.col("line") + context - begin + 1) if context else F.array().cast("array<string>")
+    hits = each.select("file_id", "line", F.regexp_instr(text_at(F.col("line")), F.lit(body)).alias("column"), text_at(F.col("line")).alias("match"), around.alias("context"))
     owners = files.select(F.col("id").alias("file_id"), "path", "project", "language", "mtime")
     if language not in (None, "all"):
         owners = owners.where(F.col("language") == language)
@@ -129,12 +131,17 @@ def search_assets(assets: DataFrame, pattern: str) -> DataFrame:
 
 def context_of(symbols: DataFrame, content: DataFrame, lines: int = 2) -> DataFrame:
     """Symbols (``file_id``, ``line``) with the line they stand on (``signature``, trimmed) and the lines around it
-    (``context``). A text is split where it is read; a symbol without text gets nulls."""
-    split = content.select("file_id", F.split("content", "\n").alias("_lines"))
-    begin = F.greatest(F.col("line") - lines, F.lit(1))
-    out = symbols.join(split, "file_id", "left")
-    valid = F.col("line").between(1, F.size("_lines"))
-    return out.withColumn("signature", F.when(valid, F.trim(F.get("_lines", F.col("line") - 1)))).withColumn("context", F.when(valid, F.slice("_lines", begin, F.col("line") + lines - begin + 1))).drop("_lines")
+    (``context``); nulls where there is no such line. Repeated rows of symbols come once. Joined by file and line, so
+    that the text of a file with very many symbols is not copied for each of them."""
+    columns = symbols.columns
+    asked = symbols.select("*", F.explode(F.sequence(F.col("line") - lines, F.col("line") + lines)).alias("_at"))
+    asked = asked.unionByName(symbols.where("line is null").withColumn("_at", F.lit(None).cast("int")))
+    there = text.lines(content.select("file_id", "content")).select(F.col("file_id").alias("_file"), F.col("line").alias("_line"), F.col("text").alias("_text"))
+    met = asked.join(there, (F.col("file_id") == F.col("_file")) & (F.col("_at") == F.col("_line")), "left")
+    own = F.max(F.when(F.col("_line") == F.col("line"), F.col("_text")))
+    near = F.array_sort(F.collect_list(F.when(F.col("_line").isNotNull(), F.struct("_line", "_text"))))
+    found = met.groupBy(*columns).agg(own.alias("_own"), near.alias("_near"))
+    return found.select(*columns, F.trim("_own").alias("signature"), F.when(F.col("_own").isNotNull(), F.transform("_near", lambda x: x["_text"])).alias("context"))
 
 
 def trigram_files(content: DataFrame, pattern: str) -> DataFrame:

@@ -87,16 +87,18 @@ def module_contents(files: DataFrame, types: DataFrame) -> DataFrame:
     return own.join(per, "module", "left").select("module", "n_files", F.coalesce("n_types", F.lit(0)).alias("n_types"), F.coalesce("n_names", F.lit(0)).alias("n_names"))
 
 
-def nested_totals(files: DataFrame, types: DataFrame) -> DataFrame:
-    """Totals over files that hold their types as arrays: per project the number of types of each kind."""
-    nested = types.groupBy("file_id").agg(F.collect_list("kind").alias("kinds")).join(files.select(F.col("id").alias("file_id"), "project"), "file_id")
-    one = lambda k: F.sum(F.size(F.filter("kinds", lambda x: x == k)))
-    return nested.groupBy("project").agg(*[one(k).alias(f"n_{k}") for k in ("class", "struct", "enum", "interface", "delegate", "event")])
-
-
-def name_lists(types: DataFrame, files: DataFrame) -> DataFrame:
-    """Per type name the files that declare it, in order."""
-    return types.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").groupBy("name").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+def kinds_by_project(files: DataFrame, types: DataFrame) -> DataFrame:
+    """Per project the number of types of each kind, a column each; counted per file before the files are joined."""
+    kinds = ("class", "struct", "enum", "interface", "delegate", "event")
+    per_file = types.groupBy("file_id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
+    joined = per_file.join(files.select(F.col("id").alias("file_id"), "project"), "file_id")
+    return joined.groupBy("project").agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in kinds])
+
+
+def declaring_files(types: DataFrame, files: DataFrame) -> DataFrame:
+    """The files that declare each type name: ``name``, ``path``, each pair once (a name may stand in very many files, so
+    they are rows and no array)."""
+    return types.select("name", "file_id").distinct().join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("name", "path").distinct()
 
 
 def top_modules(files: DataFrame) -> DataFrame:

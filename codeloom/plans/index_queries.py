@@ -82,10 +82,10 @@ QUERIES = {
     "a17_asset_hits": lambda s, d: G.search_assets(*_t(s, d, "assets"), "Crane"),
     "a18_latencies": lambda s, d: L.latencies(L.query_log(*_t(s, d, "events"))),
     "a19_module_contents": lambda s, d: A.module_contents(*_t(s, d, "files", "types")),
-    "a20_nested_totals": lambda s, d: A.nested_totals(*_t(s, d, "files", "types")),
+    "a20_kinds_by_project": lambda s, d: A.kinds_by_project(*_t(s, d, "files", "types")),
     "a21_posting_stats": lambda s, d: A.posting_stats(*_t(s, d, "types", "members")),
     "o1_projects": lambda s, d: A.projects(*_t(s, d, "files", "assets")),
-    "x15_name_lists": lambda s, d: A.name_lists(*_t(s, d, "types", "files")),
+    "x15_declaring_files": lambda s, d: A.declaring_files(*_t(s, d, "types", "files")),
     "x15_top_modules": lambda s, d: A.top_modules(*_t(s, d, "files")),
     "n1_postings": lambda s, d: trigrams.postings(*_t(s, d, "types", "members")),
     "n4_content_drift": lambda s, d: A.content_drift(*_t(s, d, "files", "file_content")),
@@ -190,10 +190,10 @@ ORACLE = {
             max(case when pos = floor(total * 0.5) then duration_ms end) as p50_ms, max(case when pos = floor(total * 0.95) then duration_ms end) as p95_ms, max(case when pos = floor(total * 0.99) then duration_ms end) as p99_ms
         from n group by method""",
     "a19_module_contents": "select f.module, count(distinct f.id) as n_files, count(t.id) as n_types, count(distinct t.name) as n_names from files f left join types t on t.file_id = f.id group by f.module",
-    "a20_nested_totals": "select f.project, " + ", ".join(f"sum(case when kind = '{k}' then 1 else 0 end)::bigint as n_{k}" for k in ("class", "struct", "enum", "interface", "delegate", "event")) + " from types t join files f on f.id = t.file_id group by f.project",
+    "a20_kinds_by_project": "select f.project, " + ", ".join(f"sum(case when kind = '{k}' then 1 else 0 end)::bigint as n_{k}" for k in ("class", "struct", "enum", "interface", "delegate", "event")) + " from types t join files f on f.id = t.file_id group by f.project",
     "a21_posting_stats": f"select entity_type, count(*) as n_rows, count(distinct trigram) as n_trigrams from {_POSTINGS} group by entity_type",
     "o1_projects": "select project from files where project is not null union select project from assets where project is not null",
-    "x15_name_lists": "select name, list_sort(list_distinct(list(path))) as paths from types t join files f on f.id = t.file_id group by name",
+    "x15_declaring_files": "select distinct name, path from types t join files f on f.id = t.file_id",
     "x15_top_modules": "select distinct string_split(module, '.')[1] as top from files",
     "n1_postings": f"select trigram, entity_type, entity_id from {_POSTINGS}",
     "n4_content_drift": """

@@ -163,3 +163,22 @@ def test_exclusions():
     deep = scan.exclude_pattern("**/Intermediate/**")
     assert re.search(deep, "/a/Intermediate/b.h") and not re.search(deep, "/a/Inter/b.h")
     assert re.search(scan.exclude_pattern("node_modules"), "/a/node_modules/b")
+
+
+def test_published_tables_are_read_by_their_filters(spark, tmp_path):
+    import contextlib
+    import io
+
+    from codeloom.sources.publish import LAYOUTS, by_prefix, publish
+    from tests.conftest import make_members
+
+    rows = make_members(spark, *[(i, 1, 1, f"Name{i % 50}", "function", 1, False, None) for i in range(500)], (1, 1, 1, "Name1", "function", 1, False, None))
+    publish("members", rows, str(tmp_path / "m"))
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    assert stored.count() == 500 and [r.name for r in stored.select("name").collect()] == sorted(f"Name{i % 50}" for i in range(500))
+    found = by_prefix(stored, "NAME4")
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        found.explain("formatted")
+    assert found.count() == 110 and "StringStartsWith(name_lower,name4)" in shown.getvalue()
+    assert set(LAYOUTS) == {"files", "types", "members", "assets", "file_content"}

@@ -130,4 +130,8 @@ def test_sql_functions(spark):
         pytest.skip("no test tables")
     register(spark, "/root/testdata/sf0.001")
     row = spark.sql("select trigrams('ABCd') as g, strip_prefix('UWidget') as s, camel_words('AHTTPServerActor') as w, (select count(*) from types) as n").collect()[0]
+    direct = spark.sql("select * from children_of('UCoreObject')").count()
+    assert direct == spark.sql("select * from types where parent = 'UCoreObject'").count() + spark.sql("select * from assets where asset_class is not null and parent_class in ('UCoreObject', 'CoreObject')").count() > 0
+    first = spark.table("file_content").first()
+    assert [r.text for r in spark.sql(f"select * from lines_of({first.file_id}) order by line").collect()] == first.content.split("\n")
     assert (row.g, row.s, row.w) == (["abc", "bcd"], "Widget", ["http", "server", "actor"]) and row.n > 0
