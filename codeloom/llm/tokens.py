@@ -127,7 +127,7 @@ def _encoder(folder: str, vocabulary: str):
         encoding = tokenizer(folder, vocabulary)
         for batch in batches:
             ids = pa.array([encode(t, encoding) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), ids], names=["key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), ids], names=["key", "n", "ids"])
 
     return run
 
@@ -237,15 +237,14 @@ def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: st
     rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     chunks = scratch.save(rows.mapInArrow(_chunk, CHUNKS))
     uses = chunks.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    counted = scratch.save(uses)
-    encoded = scratch.save(counted.select("key", "text").mapInArrow(_encoder(folder, vocabulary), "key binary, ids array<int>"))
+    encoded = scratch.save(uses.select("key", "n", "text").mapInArrow(_encoder(folder, vocabulary), "key binary, n long, ids array<int>"))
     limit = max(1, int(chunks.count() * HEAVY_SHARE))
-    heavy = [bytes(r[0]) for r in counted.where(F.col("n") > limit).select("key").collect()]  # at most 1 / HEAVY_SHARE
+    heavy = [bytes(r[0]) for r in encoded.where(F.col("n") > limit).select("key").collect()]  # at most 1 / HEAVY_SHARE
     # The ids of a text all of whose cuts are certain are those of its chunks, one after the other; only the others
     # leave the JVM to be repaired.
     parts = []
     for repair in (False, True):
-        found = heavy_light_join(chunks.where(F.col("repair") == repair).select("uid", "doc_id", "seq", "sure", "key"), encoded, "key", heavy)
+        found = heavy_light_join(chunks.where(F.col("repair") == repair).select("uid", "doc_id", "seq", "sure", "key"), encoded.select("key", "ids"), "key", heavy)
         whole = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "sure", "ids"))).alias("parts"))
         if repair:
             parts.append(whole.select("doc_id", "parts").mapInPandas(_assemble(folder, vocabulary), "doc_id long, ids array<int>"))
