@@ -54,6 +54,13 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+def _made(spark: SparkSession, folder: str) -> str:
+    """The folder, made if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+    return folder
+
+
 def _run(stream: DataFrame, each, mode: str = "append") -> None:
     place = f"{shared_folder(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", place).trigger(availableNow=True).start()
@@ -75,7 +82,8 @@ def maintain_state(changes: DataFrame) -> DataFrame:
         versions.write(number, own if state is None else patches.compose(state.unionByName(own), "path_lower"))
 
     _run(changes, each)
-    return versions.read()
+    state = versions.read()
+    return patches.composed(spark.createDataFrame([], changes.schema)) if state is None else state
 
 
 def running_counts(stream: DataFrame, *keys: str) -> DataFrame:
@@ -91,7 +99,8 @@ def running_counts(stream: DataFrame, *keys: str) -> DataFrame:
         versions.write(number, own if state is None else state.unionByName(own).groupBy(*keys).agg(F.sum("n").alias("n")))
 
     _run(stream, each)
-    return versions.read()
+    counts = versions.read()
+    return spark.createDataFrame([], stream.schema).groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -106,7 +115,8 @@ def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day"
         batch.select(F.col("window.start").alias("start"), key, "n", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{root}/{number:08d}")
 
     _run(counted, each, "update")
-    return spark.read.parquet(f"{root}/*").groupBy("start", key).agg(F.max_by("n", "batch").alias("n"))
+    schema = f"start timestamp, {key} {dict(stream.dtypes)[key]}, n long, batch int"
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(_made(spark, root)).groupBy("start", key).agg(F.max_by("n", "batch").alias("n"))
 
 
 def sessions(stream: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "60 days") -> DataFrame:

@@ -91,3 +91,15 @@ def test_mtimes(spark):
     content = spark.createDataFrame([(1, "x", 1), (2, None, 1)], "file_id long, content string, content_hash long")
     assert {tuple(r) for r in I.mtimes(files, content).collect()} == {("/a.h", 7), ("/b.h", None), ("/c.uasset", 9)}
     assert [r.id for r in I.without_content(files, content).orderBy("id").collect()] == [2, 3]
+
+
+def test_streams_of_nothing(spark, folder):
+    import os
+
+    from codeloom.streaming import changes as C
+    from tests.test_patches import FEED
+
+    os.makedirs(f"{folder}/none")
+    stream = lambda: spark.readStream.schema(FEED + ", received_at timestamp").parquet(f"{folder}/none")
+    assert C.maintain_state(stream()).collect() == [] and C.running_counts(stream(), "op").collect() == []
+    assert C.windowed_counts(stream(), "received_at", "op").collect() == []
