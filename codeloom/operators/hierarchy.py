@@ -8,6 +8,9 @@ contracted, and takes as many rounds as those lie apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from codeloom.session import Scratch
 #: and long chains, which pointer jumping contracts in a logarithmic number of rounds.
 PEEL_SHARE = 0.1
 
+#: Links between nodes with several parents that one task may search for strong components. More are searched by all
+#: tasks together, round by round, until no more than that are left; the components are the same either way.
+TASK_LINKS = 500_000
+
 
 def _resolve(pairs: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (child, parent) of distinct (child, ref) pairs, where ``keys`` (key, name) says what a ref finds."""
@@ -82,17 +89,63 @@ def _spread(edges: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
             return label
 
 
-def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _components(batches: Iterable[pd.DataFrame]):
+    """The strong components of two or more nodes among all links of a partition, by one depth-first search."""
+    above: dict[int, list[int]] = {}
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            above.setdefault(a, []).append(b)
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    open_nodes: list[int] = []
+    is_open: set[int] = set()
+    found: list[tuple[int, int]] = []
+    for start in above:
+        if start in number:
+            continue
+        path = [(start, iter(above[start]))]
+        number[start] = low[start] = len(number)
+        open_nodes.append(start)
+        is_open.add(start)
+        while path:
+            node, rest = path[-1]
+            for other in rest:
+                if other not in number:
+                    number[other] = low[other] = len(number)
+                    open_nodes.append(other)
+                    is_open.add(other)
+                    path.append((other, iter(above.get(other, ()))))
+                    break
+                if other in is_open:
+                    low[node] = min(low[node], number[other])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[node])
+                if low[node] == number[node]:
+                    members = []
+                    while True:
+                        members.append(open_nodes.pop())
+                        is_open.discard(members[-1])
+                        if members[-1] == node:
+                            break
+                    if len(members) > 1:
+                        found.extend((m, node) for m in members)
+    yield pd.DataFrame(found, columns=["n", "component"], dtype="int64")
+
+
+def strong_components(edges: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS) -> DataFrame:
     """Nodes of the strong components of two or more nodes: ``n`` and ``component``; ``edges`` (a, b) without loops.
+    Up to ``task_links`` links are searched in one task, more as follows.
 
     Each node takes the largest node that reaches it as colour; the nodes of a colour that reach back to its name are
     one component. They are taken out, links between colours (which lie on no cycle) too, and the rest goes again.
     """
-    edges, found = scratch.save(edges.distinct()), None
-    while not edges.isEmpty():
+    (edges, size), found = scratch.measured(edges.distinct(), rows=F.count(F.lit(1))), None
+    while size["rows"] > task_links:
         edges = _peel(edges.select(F.col("a").alias("c"), F.col("b").alias("p")), scratch)
-        edges = scratch.save(edges.select(F.col("c").alias("a"), F.col("p").alias("b")))
-        if edges.isEmpty():
+        edges, size = scratch.measured(edges.select(F.col("c").alias("a"), F.col("p").alias("b")), rows=F.count(F.lit(1)))
+        if size["rows"] <= task_links:
             break
         nodes = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
         colour = scratch.save(_spread(edges, scratch.save(nodes.select("n", F.col("n").alias("l"))), scratch))
@@ -101,12 +154,12 @@ def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         start = scratch.save(colour.select("n", F.when(F.col("n") == F.col("l"), 1).otherwise(0).alias("l")))
         back = _spread(within.select(F.col("b").alias("a"), F.col("a").alias("b")), start, scratch)
         part = scratch.save(back.where("l = 1").join(colour.withColumnRenamed("l", "component"), "n").select("n", "component"))
-        rest = scratch.save(within.join(part.select(F.col("n").alias("a")), "a", "left_anti").join(part.select(F.col("n").alias("b")), "b", "left_anti"))
+        rest, size = scratch.measured(within.join(part.select(F.col("n").alias("a")), "a", "left_anti").join(part.select(F.col("n").alias("b")), "b", "left_anti"), rows=F.count(F.lit(1)))
         scratch.drop(edges, within, colour)
         found = part if found is None else found.unionByName(part)
         edges = rest
-    if found is None:
-        return edges.select(F.col("a").alias("n"), F.col("b").alias("component")).limit(0)
+    last = edges.repartition(1).mapInPandas(_components, "n long, component long")
+    found = last if found is None else found.unionByName(last)
     # A colour's name that no other node reaches back to is alone and on no cycle.
     several = found.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
     return found.join(several, "component").select("n", "component")

@@ -41,6 +41,19 @@ def test_cycles_agree_with_brute_force(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_are_the_same_in_one_task_and_in_all(spark, seed):
+    rng = random.Random(seed)
+    links = sorted({(a, b) for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(34)) if a != b})
+    up = reach(links)
+    want = {frozenset(m for m in up[n] if n in up[m]) for n in up if n in up[n]}
+    for at_once in (0, 10, 1000):
+        groups = {}
+        for r in H.strong_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark), at_once).collect():
+            groups.setdefault(r.component, set()).add(r.n)
+        assert {frozenset(g) for g in groups.values()} == want
+
+
 def test_between_two_cycles_is_not_on_one(spark):
     links = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (6, 1), (7, 7), (7, 3), (5, 8), (9, 10), (9, 11), (10, 12), (11, 12), (12, 9)]
     got = sorted(r.n for r in H.cycle_nodes(spark.createDataFrame(links, "c long, p long"), Scratch(spark)).collect())
