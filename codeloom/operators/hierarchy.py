@@ -303,7 +303,8 @@ def hierarchy(types: DataFrame, assets: DataFrame) -> DataFrame:
     joined by `` > ``), ``entry`` and ``leave`` (Euler tour: the descendants of a name are the names with
     ``entry < x <= leave``), ``n_descendants``, ``on_cycle``. A name with several parents hangs under the smallest of
     them (by bytes); the others are still links for ``on_cycle``. The tree is cut above a name on a cycle, which is the
-    root of what hangs below it. A name without links is a root. Null names are left out; empty tables give no rows.
+    root of what hangs below it. ``entry``, ``leave`` and ``n_descendants`` are those of this tree; over all links, see
+    ``all_descendants`` and ``all_paths``. A name without links is a root. Null names are left out; empty tables give no rows.
     """
     scratch = Scratch(types.sparkSession, "hierarchy")
     links = name_links(types, assets, scratch)
@@ -341,3 +342,106 @@ def descendants(tour: DataFrame, names: DataFrame) -> DataFrame:
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     nodes = tour.select("node_name", "entry", F.floor(F.col("entry") / width).alias("block"))
     return nodes.join(spans, "block").where("entry > lo and entry <= hi").select("ancestor", "node_name")
+
+
+def _segments(links: DataFrame, every: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(segments, hops)`` of the links (c, p), distinct, without loops, over the nodes ``every`` (n, name).
+
+    The links above names with several parents and above names on a cycle without such names are taken out; what is left
+    is a forest in which every link is a name's only one. ``segments``: ``n``, ``home`` (its root there), ``path`` (names
+    from the home). ``hops``: the links taken out, (c, p): each leads from a home to some node. A walk up visits a tree
+    of the forest down from its home only, so that trees are met as a whole or not at all.
+    """
+    _, rings = contract_chains(links, scratch)
+    several = links.groupBy(F.col("c").alias("n")).agg(F.count("*").alias("k")).where("k > 1").select("n")
+    cut = scratch.save(several.unionByName(rings).distinct())
+    hops = scratch.save(links.join(cut.select(F.col("n").alias("c")), "c", "left_semi"))
+    kept = links.join(cut.select(F.col("n").alias("c")), "c", "left_anti").select(F.col("c").alias("n"), "p")
+    begun = every.join(kept, "n", "left").select("n", F.coalesce("p", "n").alias("to"), F.col("p").isNull().alias("done"), F.array("name").alias("path"))
+    still = {"open": F.count_if(~F.col("done"))}
+    state, now = scratch.measured(begun, **still)
+    while now["open"]:
+        moved, now = scratch.measured(_jump(state, {"to": F.col("o_to"), "done": F.col("o_done"), "path": F.concat("o_path", "path")}, ~F.col("done")), **still)
+        scratch.drop(state)
+        state = moved
+    return state.select("n", F.col("to").alias("home"), "path"), hops
+
+
+def _all_links(types: DataFrame, assets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All names (n, name), the links between different names (c, p), and the nodes ``n`` linked to themselves."""
+    links = name_links(types, assets, scratch)
+    every = types.select("name").union(assets.select("name")).where("name is not null").distinct()
+    seed = hash_seed(every)
+    ids = _ids(links, seed)
+    every = scratch.save(every.select(F.xxhash64("name", F.lit(seed)).alias("n"), "name"))
+    return every, scratch.save(ids.where("c <> p")), scratch.save(ids.where("c = p").select(F.col("c").alias("n")))
+
+
+def all_descendants(types: DataFrame, assets: DataFrame) -> DataFrame:
+    """The pairs (``ancestor``, ``node_name``), each once, of names where the first can be reached from the second over one
+    or more links. All links count, those to second parents and those on cycles too; a name on a cycle is its own
+    descendant. Null names are left out; empty tables give no rows.
+
+    A name's ancestors are those on its segment and all that can be reached from its home. The latter are gathered per
+    home that has links: the closure over homes doubles its reach in each round, and every pair in it is one of the result.
+    """
+    scratch = Scratch(types.sparkSession, "descendants")
+    every, links, loops = _all_links(types, assets, scratch)
+    segments, hops = _segments(links, every, scratch)
+    first = scratch.save(hops.join(segments.select(F.col("n").alias("p"), "home", "path"), "p"))
+    up = first.select(F.col("c").alias("a"), F.col("home").alias("b")).union(hops.select("c", "c")).distinct()
+    up, size = scratch.measured(up, rows=F.count(F.lit(1)))
+    while True:
+        twice = up.join(up.select(F.col("a").alias("b"), F.col("b").alias("to")), "b").select("a", F.col("to").alias("b")).distinct()
+        grown, found = scratch.measured(up.union(twice).distinct(), rows=F.count(F.lit(1)))
+        scratch.drop(up)
+        up, before, size = grown, size, found
+        if size == before:
+            break
+    above = first.select(F.col("c").alias("b"), F.explode("path").alias("ancestor")).distinct()
+    over = scratch.save(up.join(above, "b").select(F.col("a").alias("home"), "ancestor").distinct())
+    own = segments.select(F.explode(F.expr("slice(path, 1, size(path) - 1)")).alias("ancestor"), F.element_at("path", -1).alias("node_name"))
+    far = segments.select("home", F.element_at("path", -1).alias("node_name")).join(over, "home").select("ancestor", "node_name")
+    itself = every.join(loops, "n", "left_semi").select(F.col("name").alias("ancestor"), F.col("name").alias("node_name"))
+    return own.unionByName(far).unionByName(itself).distinct()
+
+
+def descendant_counts(types: DataFrame, assets: DataFrame) -> DataFrame:
+    """``n_descendants`` of every name (``node_name``) over all links, by ``all_descendants``; 0 where there is none."""
+    every = types.select("name").union(assets.select("name")).where("name is not null").distinct()
+    below = all_descendants(types, assets).groupBy(F.col("ancestor").alias("name")).agg(F.count("*").alias("n"))
+    return every.join(below, "name", "left").select(F.col("name").alias("node_name"), F.coalesce("n", F.lit(0)).alias("n_descendants"))
+
+
+def all_paths(types: DataFrame, assets: DataFrame) -> DataFrame:
+    """Every way up from every name, over all links: ``node_name``, ``root_name``, ``depth`` (links of the way) and ``path``
+    (names from the root, joined by `` > ``).
+
+    A way meets no name twice and goes on as long as a link leads to a name that is not on it; so its root is a name
+    without links, or one whose links all lead back to the way. Names with several parents have a row for each way,
+    whose number may grow with the product of the choices on it. Null names are left out; empty tables give no rows.
+
+    All ways grow by a whole segment in a round, so there are as many rounds as links to second parents or on cycles
+    lie on one way. Where a segment meets the way, the way takes what is below and ends there.
+    """
+    scratch = Scratch(types.sparkSession, "paths")
+    every, links, _ = _all_links(types, assets, scratch)
+    segments, hops = _segments(links, every, scratch)
+    homes = hops.select(F.col("c").alias("home"), F.lit(True).alias("goes")).distinct()
+    segments = scratch.save(segments.join(homes, "home", "left").withColumn("goes", F.coalesce("goes", F.lit(False))))
+    over = hops.join(segments.select(F.col("n").alias("p"), F.col("home").alias("next"), F.col("path").alias("more"), F.col("goes").alias("on")), "p")
+    over = scratch.save(over.select(F.col("c").alias("home"), "next", "more", "on"))
+    done = segments.where("not goes").select("path")
+    way, found = scratch.measured(segments.where("goes").select("home", "path"), rows=F.count(F.lit(1)))
+    while found["rows"]:
+        tried = way.join(over, "home").withColumn("new", F.array_except("more", "path")).where("size(new) > 0")
+        grown = scratch.save(tried.select(F.col("path").alias("old"), F.concat("new", "path").alias("path"), F.col("next").alias("home"), (F.col("on") & (F.size("new") == F.size("more"))).alias("goes")))
+        ended = scratch.save(way.join(grown.select(F.col("old").alias("path")).distinct(), "path", "left_anti").select("path"))
+        done = done.unionByName(ended).unionByName(grown.where("not goes").select("path"))
+        way, found = scratch.measured(grown.where("goes").select("home", "path"), rows=F.count(F.lit(1)))
+    return done.select(
+        F.element_at("path", -1).alias("node_name"),
+        F.element_at("path", 1).alias("root_name"),
+        (F.size("path") - 1).cast("long").alias("depth"),
+        F.array_join("path", " > ").alias("path"),
+    )

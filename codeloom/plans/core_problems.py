@@ -65,7 +65,15 @@ def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return tree.select("node_name", "parent_name", "root_name", "depth", "path", "n_descendants", "on_cycle")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_figures, p3_found, p3_report, p4_found, p4_state, p5_found, p5_hierarchy)}
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    return H.all_paths(table(spark, d, "types"), table(spark, d, "assets"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return H.descendant_counts(table(spark, d, "types"), table(spark, d, "assets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_figures, p3_found, p3_report, p4_found, p4_state, p5_found, p5_hierarchy, p5_paths, p5_counts)}
 
 _KEYED = """
     select 'types.parent' as field_name, parent as key_value, id from types
@@ -150,4 +158,17 @@ ORACLE = {
             select a.name, t.parent from above a join tree t on t.name = a.top where t.parent is not null)
         select w.name as node_name, parent as parent_name, root as root_name, depth, path,
                (select count(*) from above a where a.top = w.name) as n_descendants, on_cycle from walk w""",
+    "p5_paths": f"""
+        with recursive {_LINKS},
+        names as (select name from types where name is not null union select name from assets where name is not null),
+        walk as (
+            select name, name as top, [name] as way from names
+            union all
+            select w.name, l.parent, list_prepend(l.parent, w.way) from walk w join links l on l.child = w.top where not list_contains(w.way, l.parent))
+        select name as node_name, top as root_name, cast(len(way) - 1 as bigint) as depth, array_to_string(way, ' > ') as path from walk w
+        where not exists (select 1 from links l where l.child = w.top and not list_contains(w.way, l.parent))""",
+    "p5_counts": f"""
+        with recursive {_LINKS},
+        names as (select name from types where name is not null union select name from assets where name is not null)
+        select n.name as node_name, count(r.a) as n_descendants from names n left join reach r on r.b = n.name group by n.name""",
 }

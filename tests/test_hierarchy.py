@@ -92,6 +92,29 @@ def test_hierarchy(spark):
     assert sorted(r.node_name for r in H.names_on_cycles(types, assets).collect()) == ["UX", "UY"]
 
 
+def ways(up, way):
+    more = [w for p in up.get(way[0], ()) if p not in way for w in ways(up, (p, *way))]
+    return more or [way]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_second_parents_and_links_on_cycles_count(spark, seed):
+    rng = random.Random(seed)
+    links = {(i, rng.randint(max(0, i - 4), i - 1)) for i in range(1, 25)} | {(rng.randrange(25), rng.randrange(25)) for _ in range(6)}
+    links |= {(30, 31), (31, 32), (32, 30), (33, 31), (34, 34), (40, 41), (41, 42), (42, 40), (40, 43), (44, 41)}  # rings alone and with a second parent
+    names = {x for link in links for x in link}
+    types = make_types(spark, *[(i, 1, f"N{c}", "class", None if p is None else f"N{p}", 1) for i, (c, p) in enumerate([*sorted(links), *((n, None) for n in sorted(names))])])
+    assets = spark.createDataFrame([], ASSETS)
+    above, up = reach(sorted(links)), {}
+    for c, p in links:
+        up.setdefault(c, set()).add(p)
+    want = {(f"N{a}", f"N{n}") for n, found in above.items() for a in found}
+    counts = {r.node_name: r.n_descendants for r in H.descendant_counts(types, assets).collect()}
+    assert counts == {f"N{n}": sum(a == f"N{n}" for a, _ in want) for n in names}
+    got = sorted(r.path for r in H.all_paths(types, assets).collect())
+    assert got == sorted(" > ".join(f"N{x}" for x in w) for n in names for w in ways(up, (n,)))
+
+
 def test_empty(spark):
     types, assets = spark.createDataFrame([], TYPES), spark.createDataFrame([], ASSETS)
     assert H.names_on_cycles(types, assets).collect() == []
