@@ -73,7 +73,11 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return H.descendant_counts(table(spark, d, "types"), table(spark, d, "assets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_figures, p3_found, p3_report, p4_found, p4_state, p5_found, p5_hierarchy, p5_paths, p5_counts)}
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return H.all_descendants(table(spark, d, "types"), table(spark, d, "assets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_figures, p3_found, p3_report, p4_found, p4_state, p5_found, p5_hierarchy, p5_paths, p5_counts, p5_descendants)}
 
 _KEYED = """
     select 'types.parent' as field_name, parent as key_value, id from types
@@ -171,4 +175,5 @@ ORACLE = {
         with recursive {_LINKS},
         names as (select name from types where name is not null union select name from assets where name is not null)
         select n.name as node_name, count(r.a) as n_descendants from names n left join reach r on r.b = n.name group by n.name""",
+    "p5_descendants": f"with recursive {_LINKS} select b as ancestor, a as node_name from reach",
 }

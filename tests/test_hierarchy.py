@@ -4,6 +4,7 @@ import pytest
 
 from codeloom.operators import closure as C
 from codeloom.operators import hierarchy as H
+from codeloom.plans.core_problems import QUERIES
 from codeloom.session import Scratch
 from tests.conftest import ASSETS, TYPES, make_assets, make_types
 
@@ -115,6 +116,13 @@ def test_second_parents_and_links_on_cycles_count(spark, seed):
     assert got == sorted(" > ".join(f"N{x}" for x in w) for n in names for w in ways(up, (n,)))
 
 
+def test_query_names_the_descendants(spark, tmp_path):
+    make_types(spark, (1, 1, "UA", "class", None, 1), (2, 1, "UB", "class", "UA", 1), (3, 1, "UC", "class", "UB", 1), (4, 1, "UC", "class", "UZ", 1), (5, 1, "UZ", "class", "UZ", 1)).write.parquet(f"{tmp_path}/types.parquet")
+    make_assets(spark, (1, "BP_A", "X", "C")).write.parquet(f"{tmp_path}/assets.parquet")
+    got = sorted(map(tuple, QUERIES["p5_descendants"](spark, str(tmp_path)).collect()))
+    assert got == [("UA", "BP_A"), ("UA", "UB"), ("UA", "UC"), ("UB", "BP_A"), ("UB", "UC"), ("UC", "BP_A"), ("UZ", "BP_A"), ("UZ", "UC"), ("UZ", "UZ")]
+
+
 def test_empty(spark):
     types, assets = spark.createDataFrame([], TYPES), spark.createDataFrame([], ASSETS)
     assert H.names_on_cycles(types, assets).collect() == []
