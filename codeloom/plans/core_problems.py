@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import hierarchy as H
 from codeloom.operators import orphans, patches
-from codeloom.operators.skew import heavy_keys, summarise_by_key
+from codeloom.operators.skew import heavy_keys, heavy_light_join, summarise_by_key
 from codeloom.session import Scratch, table
 
 #: A value on at least this share of a table's rows is heavy.
@@ -35,6 +35,41 @@ def p2_key_figures(spark: SparkSession, d: str) -> DataFrame:
     return _summary(spark, d).select("field_name", "key_value", F.col("n").alias("n_rows"), F.col("low").alias("first_id"), F.col("high").alias("last_id"))
 
 
+def _owned(rows: DataFrame, owners: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """``rows`` with the columns of their owner; rows without one are left out. Owners of very many rows are broadcast."""
+    rows, found = scratch.measured(rows, rows=F.count(F.lit(1)))
+    limit = max(1, int(found["rows"] * orphans.HEAVY_SHARE))
+    heavy = [r[0] for r in rows.groupBy(key).count().where(f"count > {limit}").select(key).dropna().collect()]  # at most 1 / HEAVY_SHARE
+    return scratch.save(heavy_light_join(rows, owners, key, heavy))
+
+
+def p2_measures(spark: SparkSession, d: str) -> DataFrame:
+    """For every parent, project and module: the distinct names of types that name a parent (``n_children``), files, types
+    and members, each member once. Types belong to the project and module of their file, members too; to a parent belong
+    the types that name it, their files and their members. What has no such file or type counts nowhere there."""
+    scratch = Scratch(spark, "measures")
+    homes = table(spark, d, "files").select(F.col("id").alias("file_id"), "project", "module")
+    types = table(spark, d, "types").select("id", "file_id", "name", "parent")
+    members = scratch.save(table(spark, d, "members").select("id", "type_id", "file_id").distinct())
+    placed = _owned(types, homes, "file_id", scratch)
+    in_files = _owned(members.select("id", "file_id"), homes, "file_id", scratch)
+    in_types = _owned(members.select("id", "type_id"), types.select(F.col("id").alias("type_id"), "parent"), "type_id", scratch)
+    rows = None
+    for measure, field, frame, column, order in (
+        *((m, f, t, f.split(".")[1], "id") for f in ("files.project", "files.module") for m, t in (("files", homes.withColumnRenamed("file_id", "id")), ("types", placed), ("members", in_files))),
+        ("types", "types.parent", types, "parent", "id"),
+        ("members", "types.parent", in_types, "parent", "id"),
+        ("files", "types.parent", types.where("file_id is not null").select("parent", "file_id").distinct(), "parent", "file_id"),
+        *(("children", f, t.where("parent <> '' and name is not null").select(F.col(f.split(".")[1]).alias("value"), "name").distinct(), "value", "name") for f, t in (("files.project", placed), ("files.module", placed), ("types.parent", types))),
+    ):
+        place = F.xxhash64(order) if order == "name" else F.col(order)
+        part = frame.select(F.lit(field).alias("field_name"), F.col(column).alias("key_value"), F.lit(measure).alias("measure"), place.alias("id"))
+        rows = part if rows is None else rows.unionByName(part)
+    summary = scratch.save(summarise_by_key(rows, ["field_name", "key_value", "measure"], "id", scratch))
+    counts = [F.coalesce(F.sum(F.when(F.col("measure") == m, F.col("n"))), F.lit(0)).alias(f"n_{m}") for m in ("children", "files", "types", "members")]
+    return summary.groupBy("field_name", "key_value").agg(*counts)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).select("ref_table", "period", "row_id")
 
@@ -77,7 +112,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.all_descendants(table(spark, d, "types"), table(spark, d, "assets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_figures, p3_found, p3_report, p4_found, p4_state, p5_found, p5_hierarchy, p5_paths, p5_counts, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_figures, p2_measures, p3_found, p3_report, p4_found, p4_state, p5_found, p5_hierarchy, p5_paths, p5_counts, p5_descendants)}
 
 _KEYED = """
     select 'types.parent' as field_name, parent as key_value, id from types
@@ -132,6 +167,23 @@ ORACLE = {
         select k.field_name, key_value from keyed k join total t on t.field_name = k.field_name
         where key_value <> '' group by k.field_name, key_value, total having count(*) >= 0.05 * total""",
     "p2_key_figures": f"select field_name, key_value, count(*) as n_rows, min(id) as first_id, max(id) as last_id from ({_KEYED}) group by 1, 2",
+    "p2_measures": """
+        with m as (select distinct id, type_id, file_id from members),
+        ft as (select f.project, f.module, t.name, t.parent from types t join files f on f.id = t.file_id),
+        fm as (select f.project, f.module from m join files f on f.id = m.file_id),
+        fields as (
+            select 'files.project' as field_name, project as key_value, 0 as c, 1 as f, 0 as t, 0 as m from files
+            union all select 'files.module', module, 0, 1, 0, 0 from files
+            union all select 'files.project', project, 0, 0, 1, 0 from ft
+            union all select 'files.module', module, 0, 0, 1, 0 from ft
+            union all select 'files.project', project, 0, 0, 0, 1 from fm
+            union all select 'files.module', module, 0, 0, 0, 1 from fm
+            union all select 'files.project', project, count(distinct name), 0, 0, 0 from ft where parent <> '' group by project
+            union all select 'files.module', module, count(distinct name), 0, 0, 0 from ft where parent <> '' group by module
+            union all select 'types.parent', parent, count(distinct case when parent <> '' then name end), count(distinct file_id), count(*), 0 from types group by parent
+            union all select 'types.parent', t.parent, 0, 0, 0, 1 from m join types t on t.id = m.type_id)
+        select field_name, key_value, cast(sum(c) as bigint) as n_children, cast(sum(f) as bigint) as n_files, cast(sum(t) as bigint) as n_types, cast(sum(m) as bigint) as n_members
+        from fields group by 1, 2""",
     "p3_found": f"{_ORPHANS} select ref_table, period, row_id from dated",
     "p3_report": f"{_ORPHANS} select ref_table, period, count(*) as n_orphans, count(distinct reference) as n_references from dated group by 1, 2",
     "p4_found": f"{_CHANGES} select path_lower, mark[1] as session_no, mark[2] as event_seq from last where op <> 'unlink'",

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators.skew import heavy_keys, heavy_light_join, range_scan, summarise_by_key
+from codeloom.plans.core_problems import QUERIES
 from codeloom.session import Scratch
+from tests.conftest import make_files, make_members, make_types
 
 
 def rows_of(spark, rows):
@@ -77,3 +79,15 @@ def test_heavy_light_join_is_a_join(spark, how):
     right = spark.createDataFrame([("h", "H"), ("a", "A"), (None, "N")], "k string, y string")
     want = sorted(map(str, left.join(right, "k", how).collect()))
     assert sorted(map(str, heavy_light_join(left, right, "k", ["h", "q"], how).collect())) == want
+
+
+def test_types_and_members_come_out_for_every_value(spark, tmp_path):
+    make_files(spark, (1, "a.h", "P", "M", "cpp", 0), (2, "b.h", "P", "N", "cpp", 0), (3, "c.h", "Q", "N", "cpp", 0)).write.parquet(f"{tmp_path}/files.parquet")
+    make_types(spark, (1, 1, "UA", "class", None, 1), (2, 1, "UB", "class", "UA", 1), (3, 2, "UB", "class", "UA", 1), (4, 9, "UC", "class", "UA", 1)).write.parquet(f"{tmp_path}/types.parquet")
+    members = [(i, t, f, "x", "function", 1, False, None) for i, t, f in ((1, 1, 1), (2, 2, 1), (2, 2, 1), (3, None, 2), (4, 77, 2), (5, 4, 9))]
+    make_members(spark, *members).write.parquet(f"{tmp_path}/members.parquet")
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in QUERIES["p2_measures"](spark, str(tmp_path)).collect()}
+    assert got == {  # children, files, types, members
+        ("files.project", "P"): (1, 2, 3, 4), ("files.project", "Q"): (0, 1, 0, 0), ("files.module", "M"): (1, 1, 2, 2), ("files.module", "N"): (1, 2, 1, 2),
+        ("types.parent", None): (0, 1, 1, 1), ("types.parent", "UA"): (2, 3, 3, 2),
+    }
