@@ -103,20 +103,10 @@ def running_counts(stream: DataFrame, *keys: str) -> DataFrame:
     return spark.createDataFrame([], stream.schema).groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
 
 
-def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts per window of event time and key; what comes later than the watermark allows is left out. Windows are
-    updated as their rows come and the last update of each counts."""
-    spark = stream.sparkSession
-    root = Scratch(spark, "windows").root
-    timed = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
-    counted = timed.groupBy(F.window("_t", width), key).agg(F.count("*").alias("n"))
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").alias("start"), key, "n", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{root}/{number:08d}")
-
-    _run(counted, each, "update")
-    schema = f"start timestamp, {key} {dict(stream.dtypes)[key]}, n long, batch int"
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(_made(spark, root)).groupBy("start", key).agg(F.max_by("n", "batch").alias("n"))
+def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day") -> DataFrame:
+    """Counts per window of event time and key, over all rows of a stream however late they come: the counts of each batch
+    are added to those so far, as in ``running_counts``. Rows without a time are in no window."""
+    return running_counts(stream.select(F.window(F.col(time).cast("timestamp"), width)["start"].alias("start"), key), "start", key)
 
 
 def sessions(stream: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "60 days") -> DataFrame:

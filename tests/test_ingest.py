@@ -103,3 +103,22 @@ def test_streams_of_nothing(spark, folder):
     stream = lambda: spark.readStream.schema(FEED + ", received_at timestamp").parquet(f"{folder}/none")
     assert C.maintain_state(stream()).collect() == [] and C.running_counts(stream(), "op").collect() == []
     assert C.windowed_counts(stream(), "received_at", "op").collect() == []
+
+
+def test_windows_count_rows_that_come_late(spark, tmp_path):
+    import os
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    from codeloom.streaming import changes as C
+
+    days = [30, 28, 29, 27, 20, 3, 2, 1, 30, 1]  # a file each, read in this order, four a batch
+    for k, day in enumerate(days):
+        frame = spark.createDataFrame([(datetime(2026, 6, day, 12), "a"), (datetime(2026, 6, day, 13), "b")], "ts timestamp, kind string")
+        frame.coalesce(1).write.parquet(f"{tmp_path}/w{k}")
+        part = next(f for f in os.listdir(f"{tmp_path}/w{k}") if f.endswith(".parquet"))
+        os.makedirs(f"{tmp_path}/events.parquet", exist_ok=True)
+        os.rename(f"{tmp_path}/w{k}/{part}", f"{tmp_path}/events.parquet/{k:02d}.parquet")
+        os.utime(f"{tmp_path}/events.parquet/{k:02d}.parquet", (1_000_000_000 + k, 1_000_000_000 + k))
+    got = C.windowed_counts(C.read_stream(spark, f"{tmp_path}/events.parquet"), "ts", "kind").selectExpr("day(start) as day", "kind", "n").collect()
+    assert {(r.day, r.kind): r.n for r in got} == {(day, kind): n for day, n in Counter(days).items() for kind in "ab"}
