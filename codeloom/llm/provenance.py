@@ -4,7 +4,8 @@ Each text is lexed, and its code is emitted again in one canonical layout (a lin
 comparison of the two layouts tells minified files (the canonical form has many times the lines), layouts of perfect
 uniformity (every line is the canonical one) and data blobs (literals make up nearly all of the code). Notices in
 comments and the path add what layout cannot tell: a tool's or a licence's notice, a folder of third-party code.
-Perfect uniformity alone decides nothing, as careful people and formatters reach it too; it supports weaker evidence.
+Perfect uniformity is reported only and enters no decision, as careful people and formatters reach it too. So a file that a
+tool wrote without a notice in comments and without a telling path or name comes out as written by hand.
 """
 
 from __future__ import annotations
