@@ -58,11 +58,35 @@ def test_blank(typed, name):
     assert typed[name].text_type == "empty" and typed[name].prose_share == 0
 
 
+def described(text, common):
+    return P.describe([text], P.Lexicon(common)).to_pylist()[0]
+
+
 def test_statistics():
-    solid, n, mean, symbols, ending, share, repeated, votes = P.describe("The sea is big.\nno #tag here", frozenset(["the", "is", "no"]))
-    assert (solid, n, ending, repeated) == (22, 7, 0.5, False)
-    assert abs(mean - 20 / 7) < 1e-9 and abs(symbols - 1 / 22) < 1e-9 and abs(share - 3 / 7) < 1e-9
-    assert sum(v["chars"] for v in votes) == 22
+    row = described("The sea is big.\nno #tag here", ["the", "is", "no"])
+    assert (row["n_chars"], row["n_words"], row["ending_share"], row["repeated"]) == (22, 7, 0.5, False)
+    assert abs(row["mean_word_length"] - 20 / 7) < 1e-9 and abs(row["symbol_share"] - 1 / 22) < 1e-9 and abs(row["common_share"] - 3 / 7) < 1e-9
+    assert sum(v["chars"] for v in row["votes"]) == 22
+
+
+def test_texts_do_not_mix():
+    """Figures do not depend on which texts stand beside a text."""
+    texts = list(PROSE.values()) + ["", " \n"] + list(OTHER.values())
+    together = P.describe(texts, P.Lexicon(COMMON)).to_pylist()
+    assert together == [described(t, COMMON) for t in texts]
+
+
+def test_functions_vote_on_what_they_know():
+    def says(text):
+        votes = P.unpacked([v["code"] for v in described(text, COMMON)["votes"]])
+        return {name: set(votes[:, i].tolist()) for i, name in enumerate(P.NAMES)}
+
+    assert says(OTHER["salad"])["salad"] == {0} and says(OTHER["salad"])["run_on"] == {0} and says(PROSE["plain"])["salad"] == {2}
+    assert says(OTHER["words"])["loop"] == {0} and says(OTHER["log"])["log"] == {0}
+    assert 0 in says(OTHER["list"])["entry"] and 0 in says(OTHER["list"])["list"] and says(PROSE["plain"])["entry"] == {2}
+    assert 0 in says(OTHER["code"])["comment"] and says(PROSE["comment"])["comment"] == {2}
+    assert 0 in says("Privet sosed kak tvoi dela segodnya utrom kogda solntse vstalo nad rekoi opyat")["bare"]
+    assert P.describe(["a b c d e f g h i j k l m n"], P.Lexicon([])).to_pylist()[0]["votes"][0]["code"] % 3 == 2
 
 
 def test_posteriors_follow_the_majority_of_good_functions():
@@ -78,8 +102,15 @@ def test_posteriors_follow_the_majority_of_good_functions():
 
 def test_very_long_texts_are_read_whole():
     long = " ".join(SENTENCES) * 2000
-    assert P.describe(long, frozenset(COMMON))[0] == P._solid(long)
-    assert P.describe("x" * 500_000, frozenset())[1] == 1
+    assert described(long, COMMON)["n_chars"] == len("".join(long.split()))
+    assert described("x" * 500_000, [])["n_words"] == 1
+    assert sum(v["chars"] for v in described("word " * 100_000, [])["votes"]) == 400_000
+
+
+def test_too_many_common_words(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_COMMON", 1)
+    with pytest.raises(ValueError):
+        P.text_types(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([("a",), ("b",)], "word string"))
 
 
 def test_nothing(spark):
