@@ -1,20 +1,24 @@
 """Which source files were written by hand, and which by a tool, a minifier, a third party or a data export.
 
-Each text is lexed, and its code is emitted again in one canonical layout (a line per statement, a line per brace). The
-comparison of the two layouts tells minified files (the canonical form has many times the lines), layouts of perfect
-uniformity (every line is the canonical one) and data blobs (literals make up nearly all of the code). Notices in
-comments and the path add what layout cannot tell: a tool's or a licence's notice, a folder of third-party code.
-Perfect uniformity is reported only and enters no decision, as careful people and formatters reach it too. So a file that a
-tool wrote without a notice in comments and without a telling path or name comes out as written by hand.
+Each text is lexed and emitted again in one canonical layout: a line per statement and brace, the file's own most frequent
+gap between every two kinds of tokens, its most frequent indentation at every depth. The comparison of the two layouts
+tells minified files (the canonical form has many times the lines), perfectly uniform ones (the two are the same) and data
+blobs (literals make up nearly all of the code). How uniform people write is learned from each project's own files:
+perfection names a tool only where it is
+unusual there, and only as far as the files that tools are known to have written are perfect more often. Notices in comments, paths, equal texts and identifier prefixes
+support what layout cannot tell; ``evidence`` says which of these a file's origin rests on.
+
+Lexing looks up each distinct token once per process; the figures of files are sums over token numbers in arrays.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +31,15 @@ MIN_LINE = 160.0
 #: Share of the code's characters in literals from which a file counts as data, and the least characters of code.
 MIN_LITERAL = 0.8
 MIN_CODE = 200
-#: Share of the files with one identifier prefix that are known to be third party, from which the others are too.
-PREFIX_SHARE = 0.5
+#: Share of a file's gaps and indentations as in the canonical layout from which it is perfectly uniform, and the least
+#: number of them.
+PERFECT, MIN_GAPS = 0.999, 100
+#: Perfection names a tool where no more than this share of a project's files have it, and the files known to be a tool's
+#: have it so many times as often.
+UNUSUAL, TELLING = 0.05, 20
+#: An identifier prefix is third party if at least so many different texts with it are known to be, at least this share of
+#: its files, and at least so many times the share of such files among all.
+PREFIX_TEXTS, PREFIX_SHARE, PREFIX_RATIO = 3, 0.8, 2.0
 
 #: A prefix or a text on more than this share of all files is joined by broadcast; at most its inverse are.
 HEAVY_SHARE = 0.002
@@ -36,8 +47,10 @@ HEAVY_SHARE = 0.002
 # Folders that hold other people's code, by the names in general use.
 THIRD_PARTY_FOLDERS = (
     "3rdparty", "3rd_party", "3rd-party", "thirdparty", "third_party", "third-party", "vendor", "vendored", "extern", "externals",
-    "external", "deps", "contrib", "extlibs", "ext_libs", "node_modules", "bower_parts", "bower_components", "jspm_packages",
+    "external", "deps", "contrib", "extlibs", "ext_libs",
 )
+# Package managers whose folders are named for them.
+PACKAGE_FOLDER = "^(bower|composer|jspm|node|npm|yarn)_[a-z]+$"
 # Folders that tools write.
 OUTPUT_FOLDERS = ("generated", "autogen", "auto_generated", "autogenerated", "intermediate", "gensrc", "generatedfiles")
 # What tools, minifiers and exporters put in a file's name.
@@ -58,8 +71,7 @@ TOOL_NOTICE = re.compile(
     r"|\bmachine[- ](written|generated|made)\b"
     r"|\bautomatisch (erzeugt|generiert|erstellt)\b|\bgenerado automáticamente\b"
     r"|\bgenerated from \S+,? do not (edit|modify|change)"
-    r"|^\W*exported by .{1,60} on every\b"
-    r"|^\W*output of .{1,60}\bsource: \S+"
+    r"|^\W*(generated|produced|exported|emitted|created|built|compiled|written|output) (by|from|of|with) .{1,80}?(\bv?\d+(\.\d+)+|\b[\w-]+/[\w./-]+\.\w{2,8}\b)"
     r"|\bdo not edit\W*$(?<=generated file - do not edit)",
     re.IGNORECASE | re.MULTILINE,
 )
@@ -80,139 +92,288 @@ LICENCE_NOTICE = re.compile(
 )
 
 _LEX = re.compile(
-    r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
-    r"|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)"
-    r"|(?P<number>\b(?:0[xX][0-9a-fA-F]+|\d[\w.]*))"
-    r"|(?P<word>[^\W\d]\w*)"
-    r"|(?P<newline>\n)"
-    r"|(?P<mark>[^\w\s])",
+    r"[^\S\n]*(?:\n"
+    r"|//[^\n]*|/\*.*?(?:\*/|\Z)"
+    r"|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?"
+    r"|\b(?:0[xX][0-9a-fA-F]+|\d[\w.]*)"
+    r"|[^\W\d]\w*"
+    r"|[^\w\s])",
     re.DOTALL,
 )
-_PREFIX = re.compile(r"\b([a-z][a-z0-9]{1,11})_[a-z0-9_]+\b")
-FIELDS = "h long, size int, tool boolean, licence boolean, minified boolean, blob boolean, uniform double, expansion double, literal double, prefix string"
+_PREFIX = re.compile(r"([a-z][a-z0-9]{1,11})_[a-z0-9_]+\Z")
+FIELDS = "h long, size int, tool boolean, licence boolean, minified boolean, blob boolean, uniform double, gaps long, expansion double, literal double, prefix string"
 
+#: Characters of texts that are worked on at once, tokens that a process remembers, and the longest ones it does.
+AT_ONCE, REMEMBERED, SHORT = 1_000_000, 500_000, 48
+#: Kinds of tokens; a mark is its character's number.
+_NEWLINE, _COMMENT, _STRING, _NUMBER, _WORD = range(5)
+#: A gap is its number of blanks, a tab counting as TAB of them, up to one below _BREAK, which stands for a line end.
+TAB, _BREAK = 256, (1 << 14) - 1
+FIGURES = ("kind", "gap", "size", "tool", "licence", "prefix")
 
-def layout(text: str) -> dict:
-    """The features of one text: notices in its comments, and how its layout compares with the canonical one.
 
-    ``expansion``: canonical lines per original line of code; ``uniform``: share of the original lines of code that begin
-    and end where a canonical line does; ``literal``: share of the code's characters in literals; ``prefix``: what most
-    of the snake-case names begin with, if one prefix leads at least half of three or more. An empty text has no
-    evidence; a very long one is lexed whole.
-    """
-    comments: list[str] = []
-    code = literal = widest = 0
-    canonical, lines, aligned = 0, 0, 0
-    depth, fresh, line_code, line_starts_fresh = 0, True, 0, True
-    for token in _LEX.finditer(text):
-        kind = token.lastgroup
-        if kind == "newline":
-            if line_code:
-                lines += 1
-                aligned += line_starts_fresh and fresh
-                widest = max(widest, line_code)
-            line_code, line_starts_fresh = 0, fresh
-            continue
-        if kind == "comment":
-            comments.append(token.group())
-            continue
-        value = token.group()
-        size = len(value)
-        code += size
-        line_code += size
-        fresh = False
-        if kind in ("string", "number"):
-            literal += size
-        elif kind == "mark":
-            if value in "([":
-                depth += 1
-            elif value in ")]":
-                depth = max(0, depth - 1)
-            elif value in "{}" or (value == ";" and not depth):
-                canonical += 1
-                fresh = True
-            elif value == "," and depth == 0:
-                literal += 1  # commas between the values of a list
-    if line_code:
-        lines += 1
-        aligned += line_starts_fresh and fresh
-    notice = "\n".join(comments)
-    leads = Counter(_PREFIX.findall(text))
-    lead, n = leads.most_common(1)[0] if leads else (None, 0)
-    expansion = canonical / lines if lines else 0.0
-    share = literal / code if code else 0.0
+class Tokens(dict):
+    """The number of each token (with the white space before it), and per number its figures in ``column[name]``."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[tuple] = []
+        self.prefixes: list[str] = [""]
+        self.prefix_numbers: dict[str, int] = {}
+
+    def __missing__(self, token: str) -> int:
+        number = len(self.rows)
+        self.rows.append(self._figures(token))
+        if len(token) <= SHORT:
+            self[token] = number
+        return number
+
+    def _figures(self, token: str) -> tuple:
+        value = token.lstrip()
+        blank = token[: len(token) - len(value)]
+        if not value:  # a line end and the white space before it
+            return (_NEWLINE, 0, 0, 0, 0, 0)
+        gap = min(len(blank) + (TAB - 1) * blank.count("\t"), _BREAK - 1)
+        first = value[0]
+        if value[:2] in ("//", "/*"):
+            return (_COMMENT, gap, len(value), int(bool(TOOL_NOTICE.search(value))), int(bool(LICENCE_NOTICE.search(value))), 0)
+        prefix = 0
+        if first in "\"'`":
+            kind = _STRING
+        elif first.isdigit():
+            kind = _NUMBER
+        elif first.isalpha() or first == "_":
+            kind = _WORD
+            if found := _PREFIX.match(value):
+                prefix = self.prefix_numbers.setdefault(found.group(1), len(self.prefixes))
+                if prefix == len(self.prefixes):
+                    self.prefixes.append(found.group(1))
+        else:
+            kind = ord(first)
+        return (kind, gap, len(value), 0, 0, prefix)
+
+    def columns(self) -> dict[str, np.ndarray]:
+        table = np.array(self.rows, dtype=np.int64).reshape(-1, len(FIGURES))
+        return {name: table[:, i] for i, name in enumerate(FIGURES)}
+
+
+def _numbers(text: str, tokens: Tokens):
+    if len(text) <= 4 * AT_ONCE:
+        return map(tokens.__getitem__, _LEX.findall(text))
+    return (tokens[m.group()] for m in _LEX.finditer(text))
+
+
+def _inside(kind: np.ndarray, file: np.ndarray, opens: str, closes: str) -> np.ndarray:
+    """How many brackets are open after each token, in its file; a closing one too many closes nothing."""
+    step = np.isin(kind, [ord(c) for c in opens]).astype(np.int64) - np.isin(kind, [ord(c) for c in closes])
+    run = np.cumsum(step)
+    start = np.flatnonzero(np.diff(file, prepend=-1))
+    run = run - np.repeat(run[start] - step[start], np.diff(np.append(start, len(file))))
+    apart = np.int64(len(file) + 1) * file * 2  # files fall so far apart that the running minimum starts anew in each
+    lowest = np.minimum.accumulate(np.minimum(run, 0) - apart) + apart
+    return run - lowest
+
+
+def _most_frequent(context: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each row the value (below ``_BREAK + 1``) that is most frequent among the rows of its context; of equals the
+    smallest."""
+    if not len(context):
+        return value
+    both, where, often = np.unique(context * (_BREAK + 1) + value, return_inverse=True, return_counts=True)
+    keys, values = both // (_BREAK + 1), both % (_BREAK + 1)
+    order = np.lexsort((values, -often, keys))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = keys[order][1:] != keys[order][:-1]
+    best = np.repeat(values[order][first], np.diff(np.append(np.flatnonzero(first), len(order))))
+    chosen = np.empty(len(order), dtype=np.int64)
+    chosen[order] = best
+    return chosen[where]
+
+
+def _layouts(number: np.ndarray, file: np.ndarray, column: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The tokens of code (no comments, no line ends), each with its gap to the token before it as it is (``gap``) and as
+    in the canonical layout (``canonical``), and the same for the indentation of those that begin a line."""
+    kind = column["kind"][number]
+    line = np.cumsum(kind == _NEWLINE)
+    code = kind >= _STRING
+    at = np.flatnonzero(code)
+    kind, gap, file, line, number = kind[at], column["gap"][number[at]], file[at], line[at], number[at]
+    round_depth, depth = _inside(kind, file, "([", ")]"), _inside(kind, file, "{", "}")
+    before = np.concatenate([[0], kind[:-1]]) if len(kind) else kind
+    first = np.diff(file, prepend=-1) != 0
+    begins = first | (np.diff(line, prepend=-1) != 0)  # the token is the first of code on its line
+    real = np.where(begins, _BREAK, gap)
+    ended = np.concatenate([[0], round_depth[:-1]]) if len(kind) else kind
+    must = np.isin(before, [ord("{"), ord("}")]) & ~np.isin(kind, [ord(";"), ord(","), ord(")")]) | ((before == ord(";")) & (ended == 0)) | (kind == ord("}"))
+    macro = code_line = np.zeros(len(kind), dtype=bool)
+    if len(kind):
+        code_line = np.repeat(kind[begins] == ord("#"), np.diff(np.append(np.flatnonzero(begins), len(kind))))  # a line of the preprocessor
+        macro = np.concatenate([[False], code_line[:-1]])
+    must |= begins & (macro | code_line)
+    context = ((file * 256 + np.minimum(before, 255)) * 256 + np.minimum(kind, 255)) * 2 + (ended > 0)
+    own = _most_frequent(context, real)
+    outer = np.maximum(depth - (kind == ord("{")), 0)
+    indent = np.zeros(len(kind), dtype=np.int64)
+    indent[begins] = _most_frequent((file[begins] * 4096 + np.minimum(outer[begins], 2047)) * 2 + (ended[begins] > 0), gap[begins])
     return {
-        "tool": bool(TOOL_NOTICE.search(notice)),
-        "licence": bool(LICENCE_NOTICE.search(notice)),
-        "minified": bool(lines and expansion >= MIN_EXPANSION and code / lines >= MIN_LINE),
-        "blob": code >= MIN_CODE and share >= MIN_LITERAL,
-        "uniform": aligned / lines if lines else 0.0,
-        "expansion": expansion,
-        "literal": share,
-        "prefix": lead if n >= 3 and 2 * n >= sum(leads.values()) else None,
-    }
-
-
-def _features(batches: Iterable[pd.DataFrame]):
+        "number": number, "file": file, "line": line, "kind": kind, "first": first, "begins": begins, "gap": real, "canonical": np.where(must, _BREAK, own),
+        "indent": gap, "canonical_indent": indent, "depth": outer, "inside": ended, "round": round_depth,
+    }
+
+
+def canonical(text: str) -> str:
+    """A text's code, without comments, in the canonical layout. A line that the file itself does not begin takes the
+    indentation of four blanks for each open brace."""
+    tokens = Tokens()
+    number = np.fromiter(_numbers(text, tokens), dtype=np.int64)
+    names = [t.lstrip() for t in _LEX.findall(text)]
+    kinds = tokens.columns()["kind"][number] if len(number) else number
+    laid = _layouts(number, np.zeros(len(number), dtype=np.int64), tokens.columns())
+    out = []
+    for i, at in enumerate(np.flatnonzero(kinds >= _STRING)):
+        if laid["canonical"][i] == _BREAK and not laid["first"][i]:
+            out.append("\n")
+        if laid["canonical"][i] == _BREAK or laid["first"][i]:
+            width = laid["canonical_indent"][i] if laid["begins"][i] else 4 * laid["depth"][i]
+        else:
+            width = laid["canonical"][i]
+        out.append("\t" * (width // TAB) + " " * (width % TAB) + names[at])
+    return "".join(out)
+
+
+def layout(texts: list[str], tokens: Tokens) -> pa.RecordBatch:
+    """The features of texts, as in ``FIELDS`` from ``tool`` on: notices in comments, and how the layout compares.
+
+    ``expansion``: canonical lines of statements and braces per original line of code; ``uniform``: share of the ``gaps``
+    between tokens, and of the indentations, that are as in the canonical layout; ``literal``: share of the code's
+    characters in literals; ``prefix``: what most of the snake-case names begin with, if one prefix leads at least half
+    of three or more. An empty text has no evidence; a very long one is lexed whole.
+    """
+    sizes, numbers = [], array("q")
+    for text in texts:
+        before = len(numbers)
+        numbers.extend(_numbers(text, tokens))
+        sizes.append(len(numbers) - before)
+    column, count = tokens.columns(), len(texts)
+    number = np.frombuffer(numbers, dtype=np.int64) if len(numbers) else np.zeros(0, dtype=np.int64)
+    file = np.repeat(np.arange(count), sizes)
+    per_file = lambda at, values=None: np.bincount(at, weights=values, minlength=count)
+    tool, licence = (per_file(file, column[name][number]) > 0 for name in ("tool", "licence"))
+    code = _layouts(number, file, column)
+    kind, at, size = code["kind"], code["file"], column["size"][code["number"]]
+    ends = np.isin(kind, [ord("{"), ord("}")]) | ((kind == ord(";")) & (code["round"] == 0))
+    literal = np.where((kind == _STRING) | (kind == _NUMBER), size, (kind == ord(",")) & (code["round"] == 0))  # and the commas between values
+    lines, statements, chars, literals = per_file(at, code["begins"]), per_file(at, ends), per_file(at, size), per_file(at, literal)
+    same = np.where(code["first"], 0, code["gap"] == code["canonical"]) + (code["begins"] & (code["indent"] == code["canonical_indent"]))
+    gaps = per_file(at, ~code["first"] + code["begins"].astype(np.int64))
+    divide = lambda a, b: np.divide(a, b, out=np.zeros(count), where=b > 0)
+    expansion, share = divide(statements, lines), divide(literals, chars)
+    prefix = column["prefix"][code["number"]]
+    named = prefix > 0
+    many = len(tokens.prefixes)
+    both, often = np.unique(at[named] * many + prefix[named], return_counts=True)
+    files, which = both // many, both % many
+    total = per_file(files, often)
+    leads = [None] * count
+    for f, w, n in zip(files.tolist(), which.tolist(), often.tolist()):
+        if n >= 3 and 2 * n >= total[f]:
+            leads[f] = tokens.prefixes[w] if leads[f] is None else min(leads[f], tokens.prefixes[w])
+    minified = (expansion >= MIN_EXPANSION) & (chars >= MIN_LINE * lines) & (lines > 0)
+    blob = (chars >= MIN_CODE) & (share >= MIN_LITERAL)
+    columns = [tool, licence, minified, blob, divide(per_file(at, same), gaps), gaps.astype(np.int64), expansion, share]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(leads, pa.string())], names=[f.split()[0] for f in FIELDS.split(", ")[2:]])
+
+
+def _features(batches: Iterable[pa.RecordBatch]):
+    tokens = Tokens()
     for batch in batches:
-        rows = [layout(t) for t in batch["content"]]
-        names = [f.split()[0] for f in FIELDS.split(", ")[2:]]
-        yield pd.concat([batch[["file_id", "h", "size"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+        begin = 0
+        while begin < batch.num_rows:
+            size, end, group = 0, begin, []
+            while end < batch.num_rows and size < AT_ONCE:
+                group.append(batch.column("content")[end].as_py())
+                size, end = size + len(group[-1]), end + 1
+            if len(tokens.rows) > REMEMBERED:
+                tokens = Tokens()
+            found = layout(group, tokens)
+            kept = batch.slice(begin, end - begin)
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("file_id", "h", "size")), *found.columns], names=["file_id", "h", "size", *found.schema.names])
+            begin = end
+
+
+def _folders(path) -> F.Column:
+    return F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
 
 
 def _segment(path, names) -> F.Column:
-    return F.arrays_overlap(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), F.array(*[F.lit(n) for n in names]))
+    return F.arrays_overlap(_folders(path), F.array(*[F.lit(n) for n in names]))
 
 
 def path_evidence(files: DataFrame) -> DataFrame:
-    """What a file's path and project say: columns ``id``, ``by_tool``, ``by_third_party``, ``by_minifier``, ``by_export``.
+    """What a file's path and project say: columns ``id``, ``project``, ``by_tool``, ``by_third_party``, ``by_minifier``, ``by_export``.
     A null path says nothing; a missing project says nothing."""
     segments = F.split(F.lower(F.translate(F.coalesce("path", F.lit("")), "\\", "/")), "/")
     name = F.element_at(segments, -1)
     return files.select(
         "id",
+        "project",
         (_segment(segments, OUTPUT_FOLDERS) | name.rlike(GENERATED_NAME)).alias("by_tool"),
-        (_segment(segments, THIRD_PARTY_FOLDERS) | F.coalesce(F.lower("project").isin(*THIRD_PARTY_FOLDERS), F.lit(False))).alias("by_third_party"),
+        (_segment(segments, THIRD_PARTY_FOLDERS) | F.exists(_folders(segments), lambda f: f.rlike(PACKAGE_FOLDER)) | F.coalesce(F.lower("project").isin(*THIRD_PARTY_FOLDERS), F.lit(False))).alias("by_third_party"),
         (name.rlike(MINIFIED_NAME) | (_segment(segments, ("dist",)) & name.endswith(".js"))).alias("by_minifier"),
         name.rlike(BLOB_NAME).alias("by_export"),
     )
 
 
 def provenance(files: DataFrame, content: DataFrame) -> DataFrame:
-    """One row per file: ``file_id``, ``origin`` (hand, tool, third_party, minified or data) and the layout's figures.
+    """One row per file: ``file_id``, ``origin`` (hand, tool, third_party, minified or data), ``evidence`` (what it rests
+    on: notice, path, layout, text or prefix; null for hand) and the layout's figures.
 
     A file without content (no row, or a null text) is judged by path and project. The texts are lexed where they are
     read; only their figures are joined with the files. A name that promises an exported blob counts only if there is no
-    text to judge. A file without notice or telling path is third party too if its text is the same as a third-party
-    file's or if nearly all files with its identifier prefix are third party.
+    text to judge. A file without notice or telling path is a tool's if it is perfectly uniform where that is unusual, and
+    third party if its text is the same as a third-party file's or if nearly all files with its identifier prefix are.
     """
     scratch = Scratch(files.sparkSession, "provenance")
     texts = content.where("content is not null and file_id is not null").select("file_id", "content", F.xxhash64("content").alias("h"), F.length("content").alias("size"))
-    figures = texts.mapInPandas(_features, f"file_id long, {FIELDS}")
+    figures = texts.mapInArrow(_features, f"file_id long, {FIELDS}")
     judged = path_evidence(files.dropDuplicates(["id"])).withColumnRenamed("id", "file_id").join(figures, "file_id", "left")
-    judged = scratch.save(
-        judged.withColumn(
-            "origin",
-            F.when(F.col("by_third_party") | F.coalesce("licence", F.lit(False)), "third_party")
-            .when(F.col("by_tool") | F.coalesce("tool", F.lit(False)), "tool")
-            .when(F.coalesce("minified", F.lit(False)) | F.col("by_minifier"), "minified")
-            .when(F.coalesce("blob", F.lit(False)) | (F.col("expansion").isNull() & F.col("by_export")), "data")
-            .otherwise("hand"),
-        )
-    )
-    # What is known of a prefix or a text is worked out once for each; those on many files are then joined by broadcast.
-    limit = max(1, int(judged.count() * HEAVY_SHARE))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    by = [
+        ("third_party", "notice", yes("licence")), ("third_party", "path", F.col("by_third_party")), ("tool", "notice", yes("tool")), ("tool", "path", F.col("by_tool")),
+        ("minified", "layout", yes("minified")), ("minified", "path", F.col("by_minifier")), ("data", "layout", yes("blob")), ("data", "path", F.col("expansion").isNull() & F.col("by_export")),
+    ]
+    first = F.coalesce(*[F.when(holds, F.struct(F.lit(origin).alias("origin"), F.lit(evidence).alias("evidence"))) for origin, evidence, holds in by])
+    perfect = (F.col("uniform") >= PERFECT) & (F.col("gaps") >= MIN_GAPS)
+    of_tool = F.coalesce(F.col("first.origin") == "tool", F.lit(False))
+    judged, found = scratch.measured(
+        judged.withColumn("first", first).withColumn("large", F.coalesce(F.col("gaps") >= MIN_GAPS, F.lit(False))).withColumn("perfect", F.coalesce(perfect, F.lit(False))),
+        rows=F.count(F.lit(1)), third=F.count_if(F.col("first.origin") == "third_party"), tools=F.count_if(of_tool & F.col("large")), perfect_tools=F.count_if(of_tool & F.col("perfect")),
+    )
+    judged = judged.withColumn("origin", F.coalesce("first.origin", F.lit("hand"))).withColumn("evidence", F.col("first.evidence"))
+    # What is known of a project, a prefix or a text is worked out once for each; those of many files are joined by broadcast.
+    limit, rate = max(1, int(found["rows"] * HEAVY_SHARE)), found["third"] / max(1, found["rows"])
     keyed = judged.withColumn("same", F.when(F.col("size") > 0, F.concat_ws(":", "h", "size")))
-    open_files, known = judged.where("origin = 'hand'"), []
-    for name, share in (("prefix", PREFIX_SHARE), ("same", 0.0)):
-        held = keyed.where(F.col(name).isNotNull()).select("file_id", "origin", F.col(name).alias("key"))
-        groups = held.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("origin") == "third_party").alias("k"))
-        groups = scratch.save(groups.where((F.col("k") > 0) & (F.col("k") >= F.col("n") * share)).select("key", "n"))
+    is_third = F.col("origin") == "third_party"
+    tests = (
+        ("project", "tool", "layout", F.col("perfect"), F.sum("perfect") <= F.sum("large") * min(UNUSUAL, found["perfect_tools"] / max(1, found["tools"]) / TELLING)),
+        ("same", "third_party", "text", F.lit(True), F.sum("third") > 0),
+        ("prefix", "third_party", "prefix", F.lit(True), (F.sum("texts") >= PREFIX_TEXTS) & (F.sum("third") >= F.sum("n") * max(PREFIX_SHARE, min(1.0, PREFIX_RATIO * rate)))),
+    )
+    known = None
+    for place, (name, origin, evidence, asks, holds) in enumerate(tests):
+        held = keyed.where(F.col(name).isNotNull()).select("file_id", "origin", "large", "perfect", "h", F.col(name).alias("key"))
+        if name == "project":
+            held = held.where("origin = 'hand'")
+        # Files are counted where they are read; only then do different texts of a key meet.
+        each = held.groupBy("key", "h").agg(F.count("*").alias("n"), F.count_if(is_third).alias("third"), F.count_if("large").alias("large"), F.count_if("perfect").alias("perfect"), F.max(is_third.cast("int")).alias("texts"))
+        groups = scratch.save(each.groupBy("key").agg(F.sum("n").alias("n"), holds.alias("holds")).where("holds").select("key", "n"))
         heavy = [r[0] for r in groups.where(F.col("n") > limit).select("key").collect()]  # at most 1 / HEAVY_SHARE
-        known.append(heavy_light_join(held.where("origin = 'hand'"), groups.select("key"), "key", heavy, "left_semi").select("file_id"))
-    third = known[0].union(known[1]).distinct().withColumn("known", F.lit(True))
-    open_files = open_files.join(third, "file_id", "left").withColumn("origin", F.when(F.col("known"), "third_party").otherwise("hand"))
-    columns = ["file_id", "origin", "uniform", "expansion", "literal"]
+        part = heavy_light_join(held.where(F.col("origin") == "hand").where(asks), groups.select("key"), "key", heavy, "left_semi").select("file_id", F.struct(F.lit(place).alias("place"), F.lit(origin).alias("origin"), F.lit(evidence).alias("evidence")).alias("found"))
+        known = part if known is None else known.unionByName(part)
+    known = known.groupBy("file_id").agg(F.max("found").alias("found"))
+    columns = ["file_id", "origin", "evidence", "uniform", "expansion", "literal"]
+    open_files = judged.where("origin = 'hand'").join(known, "file_id", "left")
+    open_files = open_files.withColumn("origin", F.coalesce("found.origin", "origin")).withColumn("evidence", F.col("found.evidence"))
     return judged.where("origin <> 'hand'").select(*columns).unionByName(open_files.select(*columns))
 
 
