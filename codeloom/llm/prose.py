@@ -325,8 +325,9 @@ def _repeated(words: np.ndarray, start: np.ndarray, text: np.ndarray, count: int
     place = np.arange(len(words)) - np.repeat(start, np.diff(np.append(start, len(words))))
     power = np.multiply.accumulate(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
     form = _sums(lexicon.column["form"][words].astype(np.uint64) * power[place], start)
-    (at, _), often = np.unique(np.stack([text.astype(np.uint64), form]), axis=1, return_counts=True)
-    at, parts = at.astype(np.int64), np.bincount(text, minlength=count)
+    form ^= (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    _, index, often = np.unique(form, return_index=True, return_counts=True)
+    at, parts = text[index], np.bincount(text, minlength=count)
     distinct, most = np.bincount(at, minlength=count), np.zeros(count, dtype=np.int64)
     np.maximum.at(most, at, often)
     return (parts >= REPEAT_UNITS) & (distinct <= np.maximum(1, REPEAT_SHARE * parts)) | (parts > REPEAT_UNITS) & (most >= REPEAT_TOP * parts)
@@ -353,8 +354,10 @@ def describe(texts: list[str], lexicon: Lexicon) -> pa.RecordBatch:
     line_start = np.cumsum(lines["n"][full]) - lines["n"][full]
     repeated = _repeated(words, unit["start"], unit["text"], count, lexicon) | _repeated(words, line_start, lines["text"][full], count, lexicon)
     # The characters of each pattern of votes in a text. The rest (marks, bullets) counts for no pattern.
-    keys, where = np.unique(np.stack([unit["text"], code]), axis=1, return_inverse=True) if len(code) else (np.zeros((2, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-    chars = np.bincount(where.ravel(), weights=size, minlength=keys.shape[1]).astype(np.int64)
+    every = 3 ** len(NAMES)
+    both, where = np.unique(unit["text"] * every + code, return_inverse=True)
+    keys = both // every, both % every
+    chars = np.bincount(where, weights=size, minlength=len(both)).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(keys[0], minlength=count))])
     votes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(keys[1]), pa.array(chars)], names=["code", "chars"]))
     share = lambda a, b: pa.array(np.divide(a, b, out=np.zeros(count), where=b > 0))
