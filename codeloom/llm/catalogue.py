@@ -24,6 +24,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "token_budgets"))
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    budgets = table(spark, d, "token_budgets")
+    return packing.fill(packing.pack_documents(table(spark, d, "documents"), budgets), budgets)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return prose.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
 
@@ -33,7 +38,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_origins, p6_ids, p7_containers, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_origins, p6_ids, p7_containers, p7_fill, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -226,28 +226,43 @@ def _assemble(folder: str, vocabulary: str):
     return run
 
 
+def _encoded_chunks(documents: DataFrame, folder: str, vocabulary: str) -> tuple[DataFrame, DataFrame, list[bytes]]:
+    """The chunks of all texts, the ids of each distinct chunk, and the keys of the most frequent ones."""
+    scratch = Scratch(documents.sparkSession, "tokens")
+    rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chunks, found = scratch.measured(rows.mapInArrow(_chunk, CHUNKS), rows=F.count(F.lit(1)))
+    uses = chunks.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    encoded = scratch.save(uses.select("key", "n", "text").mapInArrow(_encoder(folder, vocabulary), "key binary, n long, ids array<int>"))
+    limit = max(1, int(found["rows"] * HEAVY_SHARE))
+    heavy = [bytes(r[0]) for r in encoded.where(F.col("n") > limit).select("key").collect()]  # at most 1 / HEAVY_SHARE
+    return chunks, encoded, heavy
+
+
+def _repaired(chunks: DataFrame, encoded: DataFrame, heavy: list[bytes], folder: str, vocabulary: str) -> DataFrame:
+    """``doc_id`` and ``ids`` of the texts with uncertain cuts: only these leave the JVM to be repaired."""
+    found = heavy_light_join(chunks.where("repair").select("uid", "doc_id", "seq", "sure", "key"), encoded.select("key", "ids"), "key", heavy)
+    whole = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "sure", "ids"))).alias("parts"))
+    return whole.select("doc_id", "parts").mapInPandas(_assemble(folder, vocabulary), "doc_id long, ids array<int>")
+
+
 def encode_corpus(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``ids`` (list of int) of every row of ``documents``: the ids of its whole ``text``, no special tokens.
 
     Null and empty texts give the empty list; text that looks like a special token is plain text. Every row comes out
     once, repeated rows and null ids too. An empty table gives no rows; other columns are not read.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "tokens")
-    rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = scratch.save(rows.mapInArrow(_chunk, CHUNKS))
-    uses = chunks.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    encoded = scratch.save(uses.select("key", "n", "text").mapInArrow(_encoder(folder, vocabulary), "key binary, n long, ids array<int>"))
-    limit = max(1, int(chunks.count() * HEAVY_SHARE))
-    heavy = [bytes(r[0]) for r in encoded.where(F.col("n") > limit).select("key").collect()]  # at most 1 / HEAVY_SHARE
-    # The ids of a text all of whose cuts are certain are those of its chunks, one after the other; only the others
-    # leave the JVM to be repaired.
-    parts = []
-    for repair in (False, True):
-        found = heavy_light_join(chunks.where(F.col("repair") == repair).select("uid", "doc_id", "seq", "sure", "key"), encoded.select("key", "ids"), "key", heavy)
-        whole = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "sure", "ids"))).alias("parts"))
-        if repair:
-            parts.append(whole.select("doc_id", "parts").mapInPandas(_assemble(folder, vocabulary), "doc_id long, ids array<int>"))
-        else:
-            parts.append(whole.select("doc_id", F.flatten("parts.ids").alias("ids")))
-    return parts[0].unionByName(parts[1])
+    chunks, encoded, heavy = _encoded_chunks(documents, folder, vocabulary)
+    # The ids of a text all of whose cuts are certain are those of its chunks, one after the other.
+    found = heavy_light_join(chunks.where("not repair").select("uid", "doc_id", "seq", "key"), encoded.select("key", "ids"), "key", heavy)
+    whole = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    return whole.select("doc_id", F.flatten("parts.ids").alias("ids")).unionByName(_repaired(chunks, encoded, heavy, folder, vocabulary))
+
+
+def token_counts(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id`` and ``n_tokens`` of every row of ``documents``, as many as ``encode_corpus`` has ids. Where all cuts of a text
+    are certain the numbers of its chunks are added, and no ids are gathered."""
+    chunks, encoded, heavy = _encoded_chunks(documents, folder, vocabulary)
+    sizes = encoded.select("key", F.size("ids").cast("long").alias("size"))
+    found = heavy_light_join(chunks.where("not repair").select("uid", "doc_id", "key"), sizes, "key", heavy)
+    whole = found.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sum("size").alias("n_tokens")).select("doc_id", "n_tokens")
+    return whole.unionByName(_repaired(chunks, encoded, heavy, folder, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens")))

@@ -54,4 +54,6 @@ def test_every_document_once(spark, whole):
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as uid", "'a' as key", "2 as seq")
     got = sorted(((r.doc_id, list(r.ids)) for r in T.encode_corpus(frame).collect()), key=str)
     assert got == sorted(((i, whole(t or "")) for i, t in rows), key=str)
+    sizes = sorted(((r.doc_id, r.n_tokens) for r in T.token_counts(frame).collect()), key=str)
+    assert sizes == sorted(((i, len(whole(t or ""))) for i, t in rows), key=str)
     assert T.encode_corpus(spark.createDataFrame([], "doc_id long, text string")).collect() == []
