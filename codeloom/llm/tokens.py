@@ -60,66 +60,86 @@ def encode(text: str, encoding: tiktoken.Encoding) -> list[int]:
     return [i for word in _WORD.findall(text) for i in encoding._core_bpe.encode_single_piece(word.encode())]
 
 
-def cuts(data: bytes) -> list[tuple[int, bool]]:
-    """Where to cut: (offset, whether the cut is at a certain word end), the end of the data last."""
-    size = len(data)
-    if size <= LEAST:
-        return [(size, True)]
+def places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rolling hash would cut, and which of these places are certain word ends. A place depends on the WINDOW bytes
+    before it only, so that texts may stand one after the other in ``data`` if none is cut that early."""
     b = np.frombuffer(data, dtype=np.uint8)
-    gear = _GEAR[b]
-    rolled = np.zeros(size, dtype=np.uint32)
-    for k in range(WINDOW):
-        rolled[k:] += gear[: size - k] << np.uint32(k)
+    # The hash is the sum over k of gear(byte k places back) << k; each step doubles the window.
+    rolled, seen = _GEAR[b], 1
+    while seen < WINDOW:
+        rolled[seen:] += rolled[:-seen] << np.uint32(seen)
+        seen *= 2
     visible = (b > 0x20) & (b < 0x7F)
-    certain = np.zeros(size, dtype=bool)
+    certain = np.zeros(len(b), dtype=bool)
     certain[1:] = ((b[1:] == 0x20) | ((b[1:] >= 0x09) & (b[1:] <= 0x0D))) & visible[:-1]
     begins = (b & 0xC0) != 0x80  # the first byte of a character
     # A cut before byte i depends on the bytes before it only. Certain word ends are about one place in six.
-    before = np.zeros(size, dtype=np.uint32)
+    before = np.zeros(len(b), dtype=np.uint32)
     before[1:] = rolled[:-1] >> np.uint32(16)  # the upper bits have seen the whole window
     hit = np.flatnonzero((certain & (before % np.uint32(EVERY // 4) == 0)) | (begins & (before % np.uint32(EVERY * 4) == 1)))
+    return hit, certain[hit]
+
+
+def _ends(size: int, hit: list[int], certain: list[bool]) -> list[tuple[int, bool]]:
+    """The cuts of a text of so many bytes among the places found in it: (offset, whether it is certain), the end last."""
     out, last = [], 0
-    for i in hit.tolist():
-        if i - last < LEAST:
+    for i, sure in zip(hit, certain):
+        if i - last < LEAST or i >= size:
             continue
-        if certain[i]:
-            out.append((i, True))
-            last = i
-        elif i - last > FAR:
-            out.append((i, False))
+        if sure or i - last > FAR:
+            out.append((i, sure))
             last = i
     out.append((size, True))
     return out
 
 
+def cuts(data: bytes) -> list[tuple[int, bool]]:
+    """Where to cut one text: (offset, whether the cut is at a certain word end), the end of the data last."""
+    hit, certain = places(data) if len(data) > LEAST else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
+    return _ends(len(data), hit.tolist(), certain.tolist())
+
+
 CHUNKS = "uid long, doc_id long, seq int, key binary, text string, sure boolean, repair boolean"
 
 
+#: Bytes of texts whose cuts are looked for at once.
+AT_ONCE = 1_000_000
+
+
 def _chunk(batches: Iterable[pa.RecordBatch]):
     for batch in batches:
-        columns: list[list] = [[] for _ in range(7)]
-        held = 0
-        for uid, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            data = (text or "").encode()
-            ends = cuts(data)
-            repair = not all(sure for _, sure in ends)
-            start = 0
-            for seq, (end, sure) in enumerate(ends):
-                part = data[start:end]
-                start = end
-                for column, value in zip(columns, (uid, doc_id, seq, xxhash.xxh3_128_digest(part), part.decode(), sure, repair)):
-                    column.append(value)
-            held += len(data)
-            if held > 8_000_000:
-                yield _batch(columns)
-                columns, held = [[] for _ in range(7)], 0
-        if columns[0]:
-            yield _batch(columns)
+        begin = 0
+        while begin < batch.num_rows:
+            size, end, group = 0, begin, []
+            while end < batch.num_rows and size < AT_ONCE:
+                group.append((batch.column(2)[end].as_py() or "").encode())
+                size, end = size + len(group[-1]), end + 1
+            yield _batch(_chunks_of(batch.column(0)[begin:end].to_pylist(), batch.column(1)[begin:end].to_pylist(), group))
+            begin = end
+
+
+def _chunks_of(uids: list, doc_ids: list, texts: list[bytes]) -> list[list]:
+    columns: list[list] = [[] for _ in range(7)]
+    hit, certain = places(b"".join(texts))
+    bounds = np.cumsum([0] + [len(t) for t in texts])
+    at = np.searchsorted(hit, bounds)
+    for k, (uid, doc_id, data) in enumerate(zip(uids, doc_ids, texts)):
+        ends = _ends(len(data), (hit[at[k] : at[k + 1]] - bounds[k]).tolist(), certain[at[k] : at[k + 1]].tolist())
+        repair = not all(sure for _, sure in ends)
+        start = 0
+        for seq, (end, sure) in enumerate(ends):
+            part = data[start:end]
+            start = end
+            for column, value in zip(columns, (uid, doc_id, seq, xxhash.xxh3_128_digest(part), part, sure, repair)):
+                column.append(value)
+    return columns
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "doc_id", "seq", "key", "text", "sure", "repair"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_()]
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+    arrays[4] = arrays[4].cast(pa.string())
+    return pa.RecordBatch.from_arrays(arrays, names=["uid", "doc_id", "seq", "key", "text", "sure", "repair"])
 
 
 def _encoder(folder: str, vocabulary: str):
