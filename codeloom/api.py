@@ -1,6 +1,8 @@
 """The engine's face: one object over a directory of tables with a method for each question it answers.
 
-Every method returns a frame that nothing has been read for yet; arguments are checked before a plan is made.
+Every method returns a frame. Arguments are checked before a plan is made: a project against the names of all projects,
+which are read for it. Lookups by likeness, of members by type, and over the inheritance graph run jobs while the plan is
+made (they save their candidates, or go round by round); the others read nothing before the frame is used.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from codeloom.operators import closure, content, ingest, logs, statistics, symbo
 from codeloom.operators.symbols import Options
 from codeloom.session import table
 from codeloom.sources import parsers
+from codeloom.sources.publish import LAYOUTS, publish
 
 #: Results of a lookup where nothing else is asked for.
 LIMITS = {"find_type": 10, "find_member": 20, "find_children": 50, "browse_module": 100, "find_file": 20, "find_asset": 20, "browse_assets": 100, "grep": 20}
@@ -28,12 +31,27 @@ class BadRequest(ValueError):
 
 
 class Index:
-    def __init__(self, spark: SparkSession, directory: str):
-        self.spark, self.directory = spark, directory
+    """``published``: a folder that ``publish`` has written the tables to, laid out for lookups; they are then read from there,
+    and lookups by likeness use the postings of names that stand beside them."""
+
+    def __init__(self, spark: SparkSession, directory: str, published: str | None = None):
+        self.spark, self.directory, self.published = spark, directory, published
 
     def table(self, name: str) -> DataFrame:
+        if self.published and name in LAYOUTS:
+            return self.spark.read.parquet(f"{self.published}/{name}")
         return table(self.spark, self.directory, name)
 
+    def publish(self, target: str) -> "Index":
+        """Writes the tables and the postings of their names to ``target``, laid out for lookups; an index that reads these."""
+        for name in LAYOUTS:
+            publish(name, table(self.spark, self.directory, name), f"{target}/{name}")
+        self.build_name_trigrams(f"{target}/name_trigrams")
+        return Index(self.spark, self.directory, target)
+
+    def postings(self) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.published}/name_trigrams") if self.published else None
+
     def _tables(self, *names: str) -> list[DataFrame]:
         return [self.table(n) for n in names]
 
@@ -67,8 +85,8 @@ class Index:
 
     def find_type(self, name: str, fuzzy: bool = False, context_lines: int = 0, **filters) -> DataFrame:
         name, options = self.check_text(name, "name"), self.options("find_type", **filters)
-        lookup = symbols.find_type_fuzzy if fuzzy else symbols.find_type
-        found = lookup(*self._tables("types", "files", "assets"), name, options)
+        tables = self._tables("types", "files", "assets")
+        found = symbols.find_type_fuzzy(*tables, name, options, self.postings()) if fuzzy else symbols.find_type(*tables, name, options)
         if not context_lines:
             return found
         files, texts = self._tables("files", "file_content")
@@ -79,7 +97,7 @@ class Index:
         name, options = self.check_text(name, "name"), replace(self.options("find_member", **filters), kind=member_kind)
         tables = self._tables("members", "types", "files")
         if fuzzy:
-            found = symbols.find_member_fuzzy(*tables, name, options)
+            found = symbols.find_member_fuzzy(*tables, name, options, self.postings())
         else:
             family = None
             if containing_type and hierarchy:
@@ -224,27 +242,51 @@ class Index:
 
 # ---- routing of search commands ------------------------------------------------------------------------------------
 
-# What a search pattern looks like when a name is meant.
-DECLARED = re.compile(r"^(?:class|struct|enum)\s+(\w+)$")
-PREFIXED = re.compile(r"^[UAFESI][A-Z]\w+$")
-TYPED_MEMBER = re.compile(r"^\w[\w<>]*[*&]?\s+(\w+)$")
+# What a search pattern looks like when a declaration is meant.
+TYPE_WORDS = ("class", "struct", "enum")
+TYPE_LETTERS = "UAFES"
+MEMBER_WORDS = ("void", "int", "float", "bool", "double", "FVector", "FString", "FName", "FText", "TArray", "TMap", "TSubclassOf", "UFUNCTION", "UPROPERTY")
+# Commands by what they do, and the shortest pattern and file name that are looked up.
+TEXT_SEARCH, FILE_SEARCH = ("grep", "rg", "select-string", "sls"), ("find", "get-childitem", "gci")
+PATTERN_FLAGS, NAME_FLAGS = ("-pattern",), ("-name", "-iname", "-filter", "-include")
+SHORTEST_PATTERN, SHORTEST_NAME = 2, 3
+
+_DECLARED = re.compile(rf"(?:{'|'.join(TYPE_WORDS)})\s+(\w+)")
+_PREFIXED = re.compile(rf"[{TYPE_LETTERS}][A-Z][A-Za-z0-9_]+")
+_MEMBER = re.compile(rf"(?:{'|'.join(MEMBER_WORDS)})\s+(\w+)")
+
+
+def routes(pattern: str) -> list[tuple[str, dict]]:
+    """The lookups a search pattern asks for, in the order they are to be tried; each but the last only if the one before
+    found nothing. A type for what begins as a declaration, or is all of it a prefixed name; a member for what begins with
+    the word of a member's type; in the end the text. A pattern that is too short asks for nothing."""
+    if len(pattern) < SHORTEST_PATTERN:
+        return []
+    found = []
+    if declared := _DECLARED.match(pattern):
+        found.append(("find_type", {"name": declared.group(1)}))
+    if _PREFIXED.fullmatch(pattern):
+        found.append(("find_type", {"name": pattern}))
+    if member := _MEMBER.match(pattern):
+        found.append(("find_member", {"name": member.group(1)}))
+    return [*found, ("grep", {"pattern": pattern})]
 
 
 def route(pattern: str) -> tuple[str, dict]:
-    """Which lookup a search pattern asks for: a type for a declaration or a prefixed name, a member for a type and a
-    name, else the text."""
-    bare = pattern.strip()
-    if found := DECLARED.match(bare):
-        return "find_type", {"name": found.group(1)}
-    if PREFIXED.match(bare):
-        return "find_type", {"name": bare}
-    if found := TYPED_MEMBER.match(bare):
-        return "find_member", {"name": found.group(1)}
-    return "grep", {"pattern": pattern}
+    """The first of ``routes``; text search for a pattern that is too short."""
+    return (routes(pattern) or [("grep", {"pattern": pattern})])[0]
+
+
+def file_lookup(pattern: str) -> tuple[str, dict] | None:
+    """The lookup of files that a glob stands for: by its last part, without wild cards and extension; none if little is left."""
+    name = re.split(r"[/\\]", pattern)[-1].replace("*", "").replace("?", "")
+    name = name.rsplit(".", 1)[0]
+    return ("find_file", {"name": name}) if len(name) >= SHORTEST_NAME else None
 
 
 def route_command(command: str) -> tuple[str, dict] | None:
-    """The lookup that a shell search stands for: grep-like tools search text, find-like tools files; else None."""
+    """The lookup that a shell search stands for: a search in texts becomes one in the index's texts, a search for files by
+    name one for files. None for other commands, and for a search for files without a name."""
     import shlex
 
     try:
@@ -254,13 +296,13 @@ def route_command(command: str) -> tuple[str, dict] | None:
     if not words:
         return None
     tool, rest = words[0].lower(), words[1:]
-    plain = [w for w in rest if not w.startswith("-")]
-    if tool in ("grep", "rg", "ag", "select-string", "findstr") and plain:
-        return route(plain[0])
-    names = [rest[i + 1] for i, w in enumerate(rest[:-1]) if w.lower() in ("-name", "-iname", "-filter", "-include")]
-    if tool in ("find", "get-childitem", "gci", "ls", "dir", "fd") and (names or plain):
-        name = (names or plain[-1:])[0].replace("*", "").strip("/")
-        return ("find_file", {"name": name}) if name else None
+    given = lambda flags: next((rest[i + 1] for i, w in enumerate(rest[:-1]) if w.lower() in flags), None)
+    if tool in TEXT_SEARCH:
+        pattern = given(PATTERN_FLAGS) or next((w for w in rest if not w.startswith("-")), "")
+        return ("grep", {"pattern": pattern}) if len(pattern) >= SHORTEST_PATTERN else None
+    if tool in FILE_SEARCH:
+        name = given(NAME_FLAGS)
+        return file_lookup(name) if name else None
     return None
 
 

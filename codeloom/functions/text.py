@@ -17,7 +17,8 @@ def content_hash(text: Column) -> Column:
 
 
 def shorten(line: Column, width: int = 200) -> Column:
-    """A line for display: trimmed at its end and cut to a width with dots after it."""
+    """A line for display: white space at both ends is taken off, and what is longer than a width is cut, with dots after it."""
+    line = F.regexp_replace(line, r"^\s+|\s+$", "")
     return F.when(F.length(line) > width, F.concat(F.substring(line, 1, width), F.lit("..."))).otherwise(line)
 
 

@@ -22,6 +22,12 @@ def trigram_list(text: str) -> list[str]:
     return list(dict.fromkeys(p for p in (low[i : i + 3] for i in range(len(low) - 2)) if not set(p) & set("\n\r\x00")))
 
 
+def shared(name: Column, grams: list[str]) -> Column:
+    """How many of some trigrams a text has, letter case aside. Plain text search, so no array is built for each row."""
+    low = F.lower(name)
+    return sum((low.contains(g).cast("int") for g in grams), F.lit(0))
+
+
 def needed(query: str) -> int:
     """How many of a query's trigrams a candidate must share; a shorter query may miss more of them."""
     share = 0.60 if len(query) <= 5 else 0.75 if len(query) <= 15 else 0.80

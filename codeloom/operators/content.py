@@ -44,7 +44,7 @@ def grep(content: DataFrame, files: DataFrame, pattern: str, regex: bool = True,
     if needed:
         hay = F.col("content") if case_sensitive else F.lower("content")
         rows = rows.where(reduce(lambda a, b: a & b, [hay.contains(n if case_sensitive else n.lower()) for n in needed]))
-    lines = rows.where(F.col("content").rlike("(?m)" + body if not body.startswith("(?i)") else "(?im)" + body[4:])).select("file_id", F.split("content", "\n").alias("lines"))
+    lines = rows.select("file_id", F.split("content", "\n").alias("lines"))
     text_at = lambda i: F.get(F.col("lines"), i - 1)
     each = lines.select("file_id", "lines", F.explode(F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: text_at(i).rlike(body))).alias("line"))
     begin = F.greatest(F.col("line") - context, F.lit(1))

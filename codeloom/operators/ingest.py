@@ -14,9 +14,8 @@ from codeloom.functions.text import content_hash
 from codeloom.operators.skew import range_scan
 from codeloom.session import Scratch
 
-#: Languages whose files must have a stored text, and the longest text that is stored.
+#: Languages whose files must have a stored text.
 TEXT_LANGUAGES = ("angelscript", "cpp", "config")
-LONGEST_TEXT = 2_000_000
 
 
 def mtimes(files: DataFrame, content: DataFrame) -> DataFrame:
@@ -126,7 +125,7 @@ def ingest(tables: dict[str, DataFrame], incoming: DataFrame, assets: DataFrame
     ids = files.select(F.col("id").alias("file_id"), "path").join(todo.select("path", "language", "content"), "path")
     ids = scratch.save(ids)
     types, members = replace_symbols(after["types"], after["members"], scratch.save(parse(ids)), ids, scratch)
-    texts = ids.where(F.col("content").isNotNull() & (F.length("content") <= LONGEST_TEXT)).select("file_id", "content", content_hash(F.col("content")).alias("content_hash"))
+    texts = ids.where(F.col("content").isNotNull()).select("file_id", "content", content_hash(F.col("content")).alias("content_hash"))
     stored = after["file_content"].join(texts.select("file_id"), "file_id", "left_anti").unionByName(texts)
     out = after | {"files": files, "types": types, "members": members, "file_content": stored}
     if assets is not None:

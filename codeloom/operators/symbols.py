@@ -46,9 +46,15 @@ def chosen(frame: DataFrame, **equal) -> DataFrame:
     return frame.where(reduce(lambda a, b: a & b, wanted)) if wanted else frame
 
 
+def lowered(table: DataFrame) -> Column:
+    """A table's names in lower case: the stored column of a published table, so that prefix filters reach the files."""
+    return F.col("name_lower") if "name_lower" in table.columns else F.lower("name")
+
+
 def typed_files(types: DataFrame, files: DataFrame, options: Options) -> DataFrame:
     """Types with the path, project and language of their files, filtered; a type without a file is left out."""
-    own = chosen(types.select("id", "file_id", "name", "kind", "parent", "line", "depth"), kind=options.kind)
+    near = [c for c in ("near",) if c in types.columns]
+    own = chosen(types.select("id", "file_id", "name", "kind", "parent", "line", "depth", *near), kind=options.kind)
     where = chosen(files.select(F.col("id").alias("file_id"), "path", "project", "language"), project=options.project, language=None if options.language == "blueprint" else options.language)
     return own.join(where, "file_id")
 
@@ -124,30 +130,43 @@ def find_type(types: DataFrame, files: DataFrame, assets: DataFrame, name: str,
     return _ranked(deduplicate(kept), [F.col("structure").desc(), F.col("ord")]).select(*TYPE_COLUMNS)
 
 
-def find_type_fuzzy(types: DataFrame, files: DataFrame, assets: DataFrame, query: str, options: Options = Options()) -> DataFrame:
+def near_or_deep(symbols: DataFrame, query: str, starts: list[str], long: bool, posted: DataFrame | None, entity: str) -> DataFrame:
+    """The symbols whose lower-case name begins with one of ``starts`` (``near``), or has enough trigrams of the query (of one
+    with few trigrams: contains it). The filter stands right on the scan. With stored postings (``posted``) the second kind
+    is looked up there, and only ids and names of the first kind are searched for."""
+    low, grams = lowered(symbols), trigrams.trigram_list(query)
+    prefix = reduce(lambda a, b: a | b, [low.startswith(s) for s in starts])  # as it is in filters, so that it is pushed down
+    by_grams = long and len(grams) >= 3
+    deep = trigrams.shared(F.col("name"), grams) >= trigrams.needed(query) if by_grams else low.contains(query)
+    if posted is None or not by_grams:
+        return symbols.where(prefix | deep).withColumn("near", F.coalesce(prefix, F.lit(False)))
+    ids = trigrams.candidates(posted, query, entity).select(F.col("entity_id").alias("id"))
+    near = symbols.where(prefix).withColumn("near", F.lit(True))
+    return near.unionByName(symbols.join(ids, "id", "left_semi").where(~prefix).withColumn("near", F.lit(False)))
+
+
+def gated(candidates: DataFrame, limit: int, label: str) -> DataFrame:
+    """The candidates that are ``near``, and the others only while those are fewer than the limit. The candidates, few of
+    all symbols, are saved once; the number that decides is counted meanwhile."""
+    kept, found = Scratch(candidates.sparkSession, label).measured(candidates, near=F.count_if("near"))
+    return kept if found["near"] < limit else kept.where("near")
+
+
+def find_type_fuzzy(types: DataFrame, files: DataFrame, assets: DataFrame, query: str, options: Options = Options(), posted: DataFrame | None = None) -> DataFrame:
     """Types whose names resemble the query. Names that begin with it, or with a prefix variant of it, are candidates;
     if these are fewer than the limit, so are names that share enough trigrams (for a short query: that contain it).
-    Candidates are scored, those below 0.4 dropped, duplicates merged, the best by score kept, ordered by ``structure``."""
+    Candidates are scored, those below 0.4 dropped, duplicates merged, the best by score kept, ordered by ``structure``.
+    ``posted``: stored postings of the names, if there are any."""
     q = query.lower()
     qs = (query[1:] if query[:1] in PREFIXES else query).lower()
-    low = F.lower("name")
     starts = sorted({q} | {p.lower() + x for p in PREFIXES for x in {q, qs}})
     parts = []
     if options.source_types():
-        rows = typed_files(types, files, options)
-        prefix = reduce(lambda a, b: a | b, [low.startswith(s) for s in starts])
-        grams = trigrams.trigram_list(q)
-        if len(q) >= 3 and len(grams) >= 3:
-            shared = F.size(F.array_intersect(trigrams.trigrams(F.col("name")), F.array(*[F.lit(g) for g in grams])))
-            deep = shared >= trigrams.needed(q)
-        else:
-            deep = low.contains(q)
-        flagged = rows.withColumn("near", prefix).where(F.col("near") | deep)
-        near = flagged.agg(F.count_if("near").alias("n_near"))
-        rows = flagged.join(F.broadcast(near)).where(F.col("near") | (F.col("n_near") < options.max_results))
+        found = near_or_deep(types, q, starts, len(q) >= 3, posted, "type")
+        rows = gated(typed_files(found, files, options), options.max_results, "types")
         parts.append(rows.select("id", "name", "kind", "parent", "line", "path", "project", "depth", F.lit(0).alias("is_asset")))
     if options.assets(fuzzy=True):
-        rows = chosen(assets.where(F.col("asset_class").isNotNull() & low.contains(q)), project=options.project)
+        rows = chosen(assets.where(F.col("asset_class").isNotNull() & lowered(assets).contains(q)), project=options.project)
         parts.append(rows.select("id", "name", F.lit("class").alias("kind"), F.col("parent_class").alias("parent"), F.lit(0).alias("line"), F.col("content_path").alias("path"), "project", F.lit(None).cast("int").alias("depth"), F.lit(1).alias("is_asset")))
     every = reduce(DataFrame.unionByName, parts)
     scored = scoring.score_types(every, query).where("score >= 0.4")
@@ -160,8 +179,9 @@ def find_type_fuzzy(types: DataFrame, files: DataFrame, assets: DataFrame, query
 
 
 def member_rows(members: DataFrame, types: DataFrame, files: DataFrame, options: Options) -> DataFrame:
-    """Members with the name of their type (null for free functions) and their file, filtered. Repeated rows count once."""
-    own = chosen(members.dropDuplicates(["id"]), member_kind=options.kind)
+    """Members with the name of their type (null for free functions) and their file, filtered. Repeated rows count once;
+    filter ``members`` before, so that only the rows asked for are shuffled."""
+    own = chosen(members, member_kind=options.kind).dropDuplicates(["id"])
     where = chosen(files.select(F.col("id").alias("file_id"), "path", "project", "language"), project=options.project, language=options.language)
     owner = types.select(F.col("id").alias("type_id"), F.col("name").alias("type_name"))
     return own.join(where, "file_id").join(owner, "type_id", "left")
@@ -184,19 +204,13 @@ def find_member(members: DataFrame, types: DataFrame, files: DataFrame, name: st
     return _ranked(rows, [F.col("id")], options.max_results).select("rank", *MEMBER_COLUMNS)
 
 
-def find_member_fuzzy(members: DataFrame, types: DataFrame, files: DataFrame, query: str, options: Options = Options(max_results=20)) -> DataFrame:
+def find_member_fuzzy(members: DataFrame, types: DataFrame, files: DataFrame, query: str, options: Options = Options(max_results=20), posted: DataFrame | None = None) -> DataFrame:
     """Members whose names resemble the query: that begin with it, or share enough of its trigrams if those are fewer
-    than the limit. Scored with their specifiers, those below 0.15 dropped, the best kept; ties by id."""
-    q, low = query.lower(), F.lower("name")
-    grams = trigrams.trigram_list(q)
-    rows = member_rows(members, types, files, options).withColumn("near", low.startswith(q))
-    if len(grams) >= 3:
-        deep = F.size(F.array_intersect(trigrams.trigrams(F.col("name")), F.array(*[F.lit(g) for g in grams]))) >= trigrams.needed(q)
-    else:
-        deep = low.contains(q)
-    flagged = rows.where(F.col("near") | deep)
-    near = flagged.agg(F.count_if("near").alias("n_near"))
-    rows = flagged.join(F.broadcast(near)).where(F.col("near") | (F.col("n_near") < options.max_results))
+    than the limit. Scored with their specifiers, those below 0.15 dropped, the best kept; ties by id.
+    ``posted``: stored postings of the names, if there are any."""
+    q = query.lower()
+    found = near_or_deep(members, q, [q], True, posted, "member")
+    rows = gated(member_rows(found, types, files, options), options.max_results, "members")
     scored = scoring.score_members(rows, query).where("score >= 0.15")
     return _ranked(scored, [F.col("score").desc(), F.col("id")], options.max_results).select("rank", *MEMBER_COLUMNS, "score", "match_reason")
 

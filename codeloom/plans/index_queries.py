@@ -101,6 +101,7 @@ QUERIES = {
     "c15_definition_lines": lambda s, d: text.lines(_t(s, d, "file_content")[0]).where(scoring.is_definition(F.col("text"))).groupBy("file_id").agg(F.count("*").alias("n_definitions"), F.min("line").alias("first_line")),
     "c18_levenshtein": _levenshtein,
     "c24_shortened_lines": lambda s, d: text.lines(_t(s, d, "file_content")[0]).where(F.length("text") > 200).select("file_id", "line", text.shorten(F.col("text")).alias("text")),
+    "c24_display_lines": lambda s, d: text.lines(_t(s, d, "file_content")[0]).groupBy(text.shorten(F.col("text"), 20).alias("text")).agg(F.count("*").alias("n")),
     "c32_mirror_paths": lambda s, d: _t(s, d, "assets")[0].select("id", N.asset_mirror_path(F.col("content_path")).alias("mirror"), N.mirror_content_path(N.asset_mirror_path(F.col("content_path"))).alias("back")),
     "g1_grep": lambda s, d: _hits(s, d, r"Sync(Token|Anchor)\(", context=1).select("path", "project", "language", "line", "column", "match", "context"),
     "g1_grep_literal": lambda s, d: _hits(s, d, "socket", regex=False, case_sensitive=False, language="cpp").select("path", "line", "column", "match"),
@@ -221,7 +222,8 @@ ORACLE = {
     "c13_structural_score": f"select t.id, {STRUCTURE} as structure from (select t.id, t.parent, f.path from types t join files f on f.id = t.file_id) t",
     "c15_definition_lines": f"select file_id, count(*) as n_definitions, cast(min(line) as integer) as first_line from {_LINES} where {_DEFINES} group by file_id",
     "c18_levenshtein": "select id, cast(levenshtein(lower(name), 'ucoreobject') as integer) as distance from types",
-    "c24_shortened_lines": f"select file_id, cast(line as integer) as line, substr(text, 1, 200) || '...' as text from {_LINES} where length(text) > 200",
+    "c24_shortened_lines": f"select file_id, cast(line as integer) as line, case when length(x) > 200 then substr(x, 1, 200) || '...' else x end as text from (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as x from {_LINES}) where length(text) > 200",
+    "c24_display_lines": f"select case when length(x) > 20 then substr(x, 1, 20) || '...' else x end as text, count(*) as n from (select regexp_replace(text, '^\\s+|\\s+$', '', 'g') as x from {_LINES}) group by 1",
     "c32_mirror_paths": "select id, regexp_replace(content_path, '^/Game/', '_assets/') || '.uasset' as mirror, content_path as back from assets",
     "g1_grep": f"with {grep_sql('Sync(?:Token|Anchor)[(]', 1)} select path, project, language, line, \"column\", match, context from hits",
     "g1_grep_literal": f"with {grep_sql('socket', 0, 'and f.language = chr(99) || chr(112) || chr(112)', 'i')} select path, line, \"column\", match from hits",

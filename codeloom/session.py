@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,10 +43,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for cut lineage: the cluster's ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder for cut lineage: the cluster's ``spark.checkpoint.dir``; one of our own only where that is unset and all
+    work is done by this machine. A cluster without it is an error, for its executors share no temporary folder."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         context.setCheckpointDir(named)
     return named

@@ -15,9 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longer texts are not parsed.
-LONGEST = 500_000
-
 SYMBOLS = "file_id long, entity string, name string, kind string, parent string, line int, is_static boolean, specifiers string, owner string"
 
 # Declarations of the C++ dialect.
@@ -296,9 +293,11 @@ def _parse(batches: Iterable[pd.DataFrame]):
         yield pd.DataFrame(rows, columns=columns).astype({"is_static": "object"})
 
 
-def symbols(texts: DataFrame) -> DataFrame:
+def symbols(texts: DataFrame, longest: int | None = None) -> DataFrame:
     """The symbols of ``texts`` (``file_id``, ``language``, ``content``), as in ``SYMBOLS``: types (``parent``) and members
-    (``owner``, ``is_static``, ``specifiers``) with their lines. Texts of other languages, null texts and texts of more
-    than ``LONGEST`` characters have none."""
-    picked = texts.where(F.col("language").isin(*DIALECTS) & F.col("content").isNotNull() & (F.length("content") <= LONGEST))
+    (``owner``, ``is_static``, ``specifiers``) with their lines. Texts of other languages, null texts and, if
+    ``longest`` is given, texts of more characters have none."""
+    picked = texts.where(F.col("language").isin(*DIALECTS) & F.col("content").isNotNull())
+    if longest is not None:
+        picked = picked.where(F.length("content") <= longest)
     return picked.select("file_id", "language", "content").mapInPandas(_parse, SYMBOLS)

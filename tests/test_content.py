@@ -28,6 +28,8 @@ def test_grep(texts):
     assert lines(G.grep(*texts, "Hurt()", regex=False)) == [(1, 3, 10)]
     assert lines(G.grep(*texts, "^class", project="Q")) == [(3, 2, 1)]
     assert lines(G.grep(*texts, "class", language="cpp")) == [(1, 1, 1)]
+    assert lines(G.grep(*texts, r"\Aclass")) == [(1, 1, 1), (2, 1, 1), (3, 2, 1)]
+    assert lines(G.grep(*texts, r"class A\w+(?!\s*\{)$", project="Q")) == [(3, 2, 1)]
     with pytest.raises(Exception):
         G.grep(*texts, "(")
 

@@ -91,9 +91,10 @@ def test_script():
 
 
 def test_symbols_frame(spark):
-    rows = spark.createDataFrame([(1, "cpp", CPP), (2, "angelscript", SCRIPT), (3, "config", "class UX"), (4, "cpp", None), (5, "cpp", "class UX\n{\n};\n" + " " * P.LONGEST), (6, "cpp", "")], "file_id long, language string, content string")
+    rows = spark.createDataFrame([(1, "cpp", CPP), (2, "angelscript", SCRIPT), (3, "config", "class UX"), (4, "cpp", None), (5, "cpp", "class UX\n{\n};\n" + " " * 600_000), (6, "cpp", "")], "file_id long, language string, content string")
     got = P.symbols(rows)
-    assert {r.file_id for r in got.collect()} == {1, 2} and got.where("entity = 'member' and is_static").count() == 2
+    assert {r.file_id for r in got.collect()} == {1, 2, 5} and got.where("entity = 'member' and is_static").count() == 2
+    assert {r.file_id for r in P.symbols(rows, longest=500_000).collect()} == {1, 2}
     assert P.symbols(rows.limit(0)).collect() == []
 
 

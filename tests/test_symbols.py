@@ -1,8 +1,9 @@
 import pytest
 
-from codeloom.api import BadRequest, Index, route, route_command
+from codeloom.api import BadRequest, Index, file_lookup, route, route_command, routes
 from codeloom.operators import closure as C
 from codeloom.operators import symbols as S
+from codeloom.sources.publish import publish
 from tests.conftest import ASSETS, make_assets, make_files, make_members, make_types
 
 
@@ -94,12 +95,50 @@ def test_empty_tables(spark, base):
 
 def test_routing():
     assert route("class AActor") == ("find_type", {"name": "AActor"})
+    assert route("class Foo : Bar") == ("find_type", {"name": "Foo"})
     assert route("UWidget") == ("find_type", {"name": "UWidget"})
-    assert route("float Health") == ("find_member", {"name": "Health"})
+    assert route("IWidget") == ("grep", {"pattern": "IWidget"}) and route("UWidget->") == ("grep", {"pattern": "UWidget->"})
+    assert route("float Health") == ("find_member", {"name": "Health"}) and route("UFUNCTION Go(") == ("find_member", {"name": "Go"})
+    assert route("tide clock") == ("grep", {"pattern": "tide clock"})
     assert route("foo.*bar") == ("grep", {"pattern": "foo.*bar"})
-    assert route_command("rg -n 'class AActor' src") == ("find_type", {"name": "AActor"})
-    assert route_command("find . -name '*Widget*.h'") == ("find_file", {"name": "Widget.h"})
-    assert route_command("echo hi") is None and route_command("grep 'x") is None
+    assert [m for m, _ in routes("struct FBoat")] == ["find_type", "grep"] and routes("x") == []
+    for command in ("rg -n 'class AActor' src", "grep -rn 'class AActor' src", "Select-String -Path x -Pattern 'class AActor'"):
+        assert route_command(command) == ("grep", {"pattern": "class AActor"})
+    for command in ("find . -name '*Widget*.h'", "Get-ChildItem -Recurse -Filter '*Widget*.h'", "gci -Filter Widget.cpp"):
+        assert route_command(command) == ("find_file", {"name": "Widget"})
+    assert file_lookup("**/Public/My?Widget*.h") == ("find_file", {"name": "MyWidget"}) and file_lookup("**/*.h") is None
+    assert route_command("find /src -type f") is None and route_command("find . -name '*.h'") is None
+    assert route_command("echo hi") is None and route_command("grep 'x") is None and route_command("grep x") is None
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_stand_on_the_scan(spark, tmp_path):
+    """Lookups filter before they put repeated rows together, and prefixes reach the files of a published table."""
+    members = make_members(spark, *[(i, 1, 1, f"ApplyAnchor{i}", "function", 1, False, None) for i in range(50)] * 2)
+    members.write.parquet(f"{tmp_path}/members")
+    publish("members", spark.read.parquet(f"{tmp_path}/members"), f"{tmp_path}/published")
+    stored = spark.read.parquet(f"{tmp_path}/published")
+    found = S.near_or_deep(stored, "appl", ["appl"], True, spark.createDataFrame([], "trigram string, entity_type string, entity_id long"), "member")
+    assert found.count() == 50 and "StringStartsWith(name_lower,appl)" in plan(found)
+    near = S.near_or_deep(spark.read.parquet(f"{tmp_path}/members"), "applyanchor1", ["applyanchor1"], True, None, "member")
+    rows = S.member_rows(near, make_types(spark, (1, 1, "UX", "class", None, 1)), make_files(spark, (1, "/a.h", "P", "P", "cpp", 0)), S.Options())
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Aggregate [id") < text.rindex("Filter (StartsWith")  # the root comes first: the filter is below
+
+
+def test_stored_postings_find_the_same(spark, tmp_path):
+    import os
+
+    if not os.path.exists("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    index = Index(spark, "/root/testdata/sf0.001")
+    stored = index.publish(str(tmp_path))
+    for ask in (lambda i: i.find_type("NightKayak", fuzzy=True), lambda i: i.find_type("UKayak", fuzzy=True), lambda i: i.find_member("AnchorHealth", fuzzy=True), lambda i: i.find_member("ApplyA", fuzzy=True), lambda i: i.find_type("UCoreObject")):
+        columns = sorted(ask(index).columns)
+        assert sorted(map(str, ask(index).select(*columns).collect())) == sorted(map(str, ask(stored).select(*columns).collect()))
 
 
 def test_facade(spark):
