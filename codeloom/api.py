@@ -194,6 +194,9 @@ class Index:
         best = content.best_hits(content.rank(hits, now_ms, content.symbols_near(hits, types, members)), max_results or LIMITS["grep"])
         return content.by_file(best) if grouped else best
 
+    def search_symbols(self, name: str, case_sensitive: bool = True, language: str | None = None, project: str | None = None, max_results: int = 20) -> DataFrame:
+        return content.search_symbols(*self._tables("types", "members", "files"), self.check_text(name, "name"), case_sensitive, language, project, max_results)
+
     def search_assets(self, pattern: str) -> DataFrame:
         return content.search_assets(self.table("assets"), self.check_text(pattern, "pattern"))
 
@@ -232,6 +235,22 @@ class Index:
                 answers.append(f"error: {e}")
         return answers
 
+    def logged(self, method: str, log: logs.Log, **given):
+        """The collected answer to a question, with its time and size in a log."""
+        return log.timed(method, [v for v in given.values() if v is not None], lambda: getattr(self, method)(**given).collect())
+
+    @staticmethod
+    def grep_hints(pattern: str, project: str | None = None) -> list[str]:
+        """What to try when a text search found nothing."""
+        tips = []
+        if "\\n" in pattern or "\\r" in pattern:
+            tips.append("lines are searched one by one, so a line end in the pattern matches nothing; ask for each line apart")
+        if "\\|" in pattern:
+            tips.append("an escaped bar is a bar; leave the backslash out for one or the other")
+        if project:
+            tips.append(f"leave out the filter on project ({project})")
+        return tips
+
     @staticmethod
     def hints(method: str, fuzzy: bool = False, project: str | None = None, language: str | None = None, kind: str | None = None) -> list[str]:
         """What to try when nothing was found."""

@@ -29,11 +29,6 @@ def lines(content: DataFrame) -> DataFrame:
     return content.where("content is not null").select("file_id", split.alias("at", "text")).select("file_id", (F.col("at") + 1).alias("line"), "text")
 
 
-def summarise_argument(value: Column) -> Column:
-    """A logged argument as short text: the first fifty characters and dots if it is longer."""
-    return F.when(F.length(value) > 50, F.concat(F.substring(value, 1, 50), F.lit("..."))).otherwise(value)
-
-
 def common_folder(low: Column, high: Column) -> Column:
     """The longest leading path that two paths share, up to and with its last slash."""
     folders = lambda p: F.slice(F.split(p, "/"), 1, F.size(F.split(p, "/")) - 1)

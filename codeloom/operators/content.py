@@ -110,9 +110,28 @@ def best_hits(ranked: DataFrame, limit: int = 20) -> DataFrame:
     return first.join(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)
 
 
+def search_symbols(types: DataFrame, members: DataFrame, files: DataFrame, name: str, case_sensitive: bool = True, language: str | None = None, project: str | None = None, limit: int = 20) -> DataFrame:
+    """The places where a symbol of this name is declared, types before members, then by path and line: ``rank``, ``path``,
+    ``project``, ``line``, ``symbol``, ``symbol_kind``, ``total``."""
+    named = lambda t: t.where(F.col("name") == name if case_sensitive else F.lower("name") == name.lower())
+    own = named(types).select("id", "file_id", "line", F.col("name").alias("symbol"), F.col("kind").alias("symbol_kind"), F.lit(0).alias("is_member"))
+    inner = named(members).dropDuplicates(["id"]).select("id", "file_id", "line", F.col("name").alias("symbol"), F.col("member_kind").alias("symbol_kind"), F.lit(1).alias("is_member"))
+    owners = files.select(F.col("id").alias("file_id"), "path", "project", "language")
+    if language not in (None, "all"):
+        owners = owners.where(F.col("language") == language)
+    if project is not None:
+        owners = owners.where(F.col("project") == project)
+    found = own.unionByName(inner).join(owners, "file_id")
+    order = [F.col("is_member"), F.col("path"), F.col("line"), F.col("id")]
+    first = found.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return first.join(F.broadcast(found.agg(F.count("*").alias("total")))).select("rank", "path", "project", "line", "symbol", "symbol_kind", "total")
+
+
 def by_file(hits: DataFrame) -> DataFrame:
-    """Hits grouped by file: ``path``, ``project``, ``n``, ``matches`` (line, match) in line order."""
-    return hits.groupBy("path", "project").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("line", "match"))).alias("matches"))
+    """Hits grouped by file: ``path``, ``project``, ``n``, ``matches`` (line, match) in line order; files with most hits first.
+    Give it a limited result (``best_hits``): the hits of a file stand in one row."""
+    grouped = hits.groupBy("path", "project").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("line", "match"))).alias("matches"))
+    return grouped.orderBy(F.col("n").desc(), "path")
 
 
 def asset_texts(assets: DataFrame) -> DataFrame:

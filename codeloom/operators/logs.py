@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import time
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.skew import range_scan
@@ -92,3 +97,74 @@ def heartbeats(log: DataFrame, now, stale_s: int = 45, evict_s: int = 60) -> Dat
     last = log.where(F.col("timestamp") <= F.lit(now).cast("timestamp")).groupBy("session_id").agg(F.max("timestamp").alias("last_seen"))
     aged = last.withColumn("age_s", F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last_seen"))
     return aged.where(F.col("age_s") <= evict_s).select("session_id", "last_seen", "age_s", F.when(F.col("age_s") > stale_s, "stale").otherwise("live").alias("state"))
+
+
+# ---- writing the logs ----------------------------------------------------------------------------------------------
+
+QUERY_LOG = "timestamp timestamp, method string, args string, duration_ms double, result_count int"
+TOOL_LOG = "timestamp timestamp, tool_name string, args_summary string, duration_ms double, result_size int, session_id string"
+# What is kept of an argument that is an object, and the length of a text in a summary of arguments.
+KEPT_FLAGS = ("fuzzy", "project", "language", "kind", "containingType")
+LONGEST_ARGUMENT = 50
+
+
+def logged_argument(value):
+    """An argument as the query log has it: texts, numbers and truth values as they are, a list by its length, an object by
+    the flags in ``KEPT_FLAGS`` that it has."""
+    if isinstance(value, (list, tuple)):
+        return f"[{len(value)} items]"
+    if isinstance(value, dict):
+        kept = {k: value[k] for k in KEPT_FLAGS if value.get(k) is not None}
+        return json.dumps(kept, separators=(",", ":")) if kept else "{...}"
+    return value
+
+
+def logged_arguments(arguments: list) -> str:
+    return json.dumps([logged_argument(a) for a in arguments], separators=(",", ":"), ensure_ascii=False)
+
+
+def summarised_arguments(arguments: Column) -> Column:
+    """A JSON object of arguments (a column) as the log of tool calls has it: texts are cut at ``LONGEST_ARGUMENT`` characters
+    with dots after them, all else stays. What is no JSON object gives null."""
+    each = F.from_json(arguments, "map<string, string>")
+    cut = lambda v: F.when(F.length(v) > LONGEST_ARGUMENT, F.concat(F.substring(v, 1, LONGEST_ARGUMENT), F.lit("..."))).otherwise(v)
+    return F.to_json(F.transform_values(each, lambda k, v: cut(v)))
+
+
+class Log:
+    """A log that calls are appended to: rows are held until there are ``batch`` of them, then written as one file more.
+    A log that cannot be written never breaks a call."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str = QUERY_LOG, batch: int = 100):
+        self.spark, self.folder, self.schema, self.batch = spark, folder, schema, batch
+        self.held: list[tuple] = []
+
+    def append(self, *row) -> None:
+        self.held.append(row)
+        if len(self.held) >= self.batch:
+            self.flush()
+
+    def flush(self) -> None:
+        rows, self.held = self.held, []
+        try:
+            if rows:
+                self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.folder)
+        except Exception as e:  # noqa: BLE001
+            print(f"log not written: {e}")
+
+    def read(self) -> DataFrame:
+        self.flush()
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.folder)
+        except Exception:  # noqa: BLE001
+            return self.spark.createDataFrame([], self.schema)
+
+    def timed(self, method: str, arguments: list, call: Callable[[], object], slow_ms: float = 0.0, clock: Callable[[], float] = time.perf_counter):
+        """What a call returns; its time, and how many rows it gave if that is known, go to the log if it took ``slow_ms``."""
+        began = clock()
+        result = call()
+        took = (clock() - began) * 1000
+        if took >= slow_ms:
+            size = len(result) if hasattr(result, "__len__") else None
+            self.append(datetime.now(timezone.utc).replace(tzinfo=None), method, logged_arguments(arguments), float(took), size)
+        return result

@@ -113,6 +113,7 @@ QUERIES = {
     "f17_context": _context,
     "k9_asset_texts": lambda s, d: G.asset_texts(*_t(s, d, "assets")),
     "k20_files_with_matches": lambda s, d: G.shape(_hits(s, d, "Anchor"), "files"),
+    "g5_symbol_search": lambda s, d: G.search_symbols(*_t(s, d, "types", "members", "files"), "applyanchor", case_sensitive=False, project="Engine", limit=40),
     "k20_counts": lambda s, d: G.shape(_hits(s, d, "Anchor"), "count"),
 }
 
@@ -248,4 +249,11 @@ ORACLE = {
     "k9_asset_texts": "select id, path, project, concat_ws(chr(10), name, content_path, coalesce(asset_class, ''), coalesce(parent_class, '')) as content from assets",
     "k20_files_with_matches": f"with {grep_sql('Anchor')} select distinct path from hits",
     "k20_counts": f"with {grep_sql('Anchor')} select path, count(*) as n from hits group by path",
+    "g5_symbol_search": f"""
+        with named as (
+            select id, file_id, line, name as symbol, kind as symbol_kind, 0 as is_member from types where lower(name) = 'applyanchor'
+            union all select id, file_id, line, name, member_kind, 1 from {_M} where lower(name) = 'applyanchor'),
+        found as (select n.*, f.path, f.project from named n join files f on f.id = n.file_id where f.project = 'Engine'),
+        ranked as (select *, row_number() over (order by is_member, path, line, id) as rank, count(*) over () as total from found)
+        select cast(rank as integer) as rank, path, project, line, symbol, symbol_kind, total from ranked where rank <= 40""",
 }

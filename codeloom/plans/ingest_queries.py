@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import summarise_argument
 from codeloom.operators import ingest as I
+from codeloom.operators import logs as L
+from codeloom.operators import upkeep as U
 from codeloom.operators import patches
 from codeloom.plans.core_problems import ORACLE as CORE
 from codeloom.plans.search_queries import _t
@@ -68,15 +69,19 @@ def _mtimes_of(s, d):
     return files.join(feed.select("path").distinct(), "path", "left_semi").select("path", "mtime")
 
 
-def _ingest(s, d):
-    """The counts of each table after a batch: one project's texts come again with a later time, another's files go."""
+def _after_ingest(s, d):
+    """The tables after a batch: one project's texts come again with a later time, another's files go."""
     tables = {n: table(s, d, n) for n in ("files", "types", "members", "file_content", "assets")}
     tables["members"] = tables["members"].dropDuplicates(["id"])
     files = tables["files"].where("project = 'Tidegate'")
     texts = files.join(tables["file_content"].select(F.col("file_id").alias("id"), "content"), "id")
     incoming = texts.select("path", "project", "module", (F.col("mtime") + 1).alias("mtime"), "language", "relative_path", "content")
     deletes = tables["files"].where("project = 'Tidegate-Cpp'").select("path")
-    after = I.ingest(tables, incoming, None, deletes, parsers.symbols)
+    return I.ingest(tables, incoming, None, deletes, parsers.symbols), "Tidegate"
+
+
+def _ingest(s, d):
+    after, _ = _after_ingest(s, d)
     kept = after["files"].select(F.lit("files").alias("name"), "id").union(after["file_content"].select(F.lit("file_content"), "file_id"))
     return kept.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"))
 
@@ -90,7 +95,73 @@ def _stream_state(s, d):
 
 
 def _args(s, d):
-    return _t(s, d, "documents")[0].select("doc_id", summarise_argument(F.col("text")).alias("summary"))
+    """Titles and counts as the arguments of calls, as a log of tool calls keeps them."""
+    given = F.to_json(F.struct(F.col("text").alias("query"), F.col("n_chars").alias("limit")))
+    return _t(s, d, "documents")[0].select("doc_id", F.get_json_object(L.summarised_arguments(given), "$.query").alias("query"), F.get_json_object(L.summarised_arguments(given), "$.limit").alias("limit"))
+
+
+def _tables(s, d):
+    tables = {n: table(s, d, n) for n in ("files", "types", "members", "file_content", "assets")}
+    return tables | {"members": tables["members"].dropDuplicates(["id"])}
+
+
+def _scanned(s, d, where):
+    files, texts = _t(s, d, "files", "file_content")
+    return files.where(where).join(texts.select(F.col("file_id").alias("id"), "content"), "id", "left").select("path", "project", "module", "mtime", "language", "relative_path", "content")
+
+
+def _symbols_of(tables, *ids):
+    """Types and members, each with the path of its file, as rows that can be compared."""
+    files = tables["files"].select(F.col("id").alias("file_id"), "path", *ids)
+    types = tables["types"].join(files, "file_id").select("path", F.lit("type").alias("entity"), "name", "kind", "line")
+    members = tables["members"].join(files, "file_id").select("path", F.lit("member").alias("entity"), "name", F.col("member_kind").alias("kind"), "line")
+    return types.unionByName(members)
+
+
+def _rebuilt(s, d):
+    """The files left after a rebuild of a language from which a project is gone, each with whether its text is stored."""
+    tables = _tables(s, d)
+    after = U.rebuild_language(tables, "angelscript", _scanned(s, d, "language = 'angelscript' and project <> 'Tidegate'"), parsers.symbols)
+    stored = after["file_content"].select(F.col("file_id").alias("id"), F.col("content_hash"))
+    return after["files"].join(stored, "id", "left").select("id", "path", "mtime", "content_hash")
+
+
+def _reindexed(s, d):
+    tables = _tables(s, d)
+    tables["files"] = tables["files"].where("module <> 'Tidegate'")
+    after = U.rebuild_project(tables, "Tidegate-Cpp", _scanned(s, d, "project = 'Tidegate-Cpp'"), parsers.symbols)
+    return U.orphan_counts(after).select("name", "n_orphans").union(after["files"].agg(F.lit("files"), F.count("*")))
+
+
+def _migrated(s, d):
+    old = _t(s, d, "files")[0].drop("path_lower", "basename_lower").withColumn("mtime", F.col("mtime").cast("string"))
+    files, _ = U.migrate("files", old)
+    return files
+
+
+def _ingested_rows(s, d):
+    """Every type of the files that no parser touched, and the stored texts, after the batch of ``t2_ingest``."""
+    after, project = _after_ingest(s, d)
+    texts = after["file_content"].select(F.lit("text").alias("entity"), "file_id", F.col("content_hash").alias("value"))
+    kept = after["files"].where(F.col("project") != project).select(F.col("id").alias("file_id"))
+    types = after["types"].join(kept, "file_id", "left_semi").select(F.lit("type").alias("entity"), "file_id", F.col("id").alias("value"))
+    members = after["members"].join(kept, "file_id", "left_semi").select(F.lit("member").alias("entity"), "file_id", F.col("id").alias("value"))
+    return texts.unionByName(types).unionByName(members)
+
+
+def _changes(s, d):
+    tables = _tables(s, d)
+    after = tables | {"files": tables["files"].where("project <> 'Tidegate'"), "assets": tables["assets"].withColumn("id", F.when(F.col("id") % 2 == 0, -F.col("id")).otherwise(F.col("id")))}
+    return U.changes_between(tables, after, "2026-01-01 00:00:00")
+
+
+def _ready(s, d):
+    rows = _t(s, d, "events")[0].select(F.col("event_type").alias("key"), (F.col("value") > 50).cast("string").alias("value"), F.struct("ts", "event_id").alias("at"))
+    return U.readiness(rows, ["click", "view", "nameTrigram"])
+
+
+def _batches(s, d):
+    return U.full_scan(_t(s, d, "files")[0].where("language = 'cpp'").select("path")).select("path", "batch")
 
 
 def _status(s, d):
@@ -110,14 +181,27 @@ QUERIES = {
     "k8_upsert_assets": _upsert_assets,
     "k12_key_values": lambda s, d: I.key_values(_t(s, d, "events")[0].select(F.col("event_type").alias("key"), F.col("props").alias("value"), F.struct("ts", "event_id").alias("at"))),
     "k13_index_status": _status,
-    "k14_argument_summary": _args,
+    "k10_without_project": lambda s, d: U.without_assets(_t(s, d, "assets")[0], project="Tidegate-Content").select("id"),
+    "k10_without_paths": lambda s, d: U.without_assets(_t(s, d, "assets")[0], paths=_t(s, d, "assets")[0].where("asset_class = 'Material'")).select("id"),
+    "k10_without_language": lambda s, d: _symbols_of(U.without_language(_tables(s, d), "angelscript")),
+    "k15_argument_summary": _args,
+    "n3_rebuild_language": _rebuilt,
+    "n5_rebuild_project": _reindexed,
+    "n5_orphan_counts": lambda s, d: U.orphan_counts(_tables(s, d) | {"files": table(s, d, "files").where("language = 'cpp'")}),
+    "x2_migrated_files": _migrated,
+    "x3_readiness": _ready,
     "t1_last_events": lambda s, d: C.last_events(_t(s, d, "file_changes")[0]),
     "t2_ingest": _ingest,
+    "t2_ingested_rows": _ingested_rows,
+    "t5_empty_languages": lambda s, d: U.empty_languages(*_t(s, d, "files", "assets"), ["cpp", "angelscript", "python", "content"]),
+    "t5_full_scan": _batches,
+    "t8_refreshed_depths": lambda s, d: U.refreshed_depths(_t(s, d, "types")[0]).select("id", "name", "depth"),
+    "t9_ingest_counters": _changes,
     "t2_stream_state": _stream_state,
-    "t5_stream_counts": lambda s, d: C.running_counts(_feed(s, d).withColumn("op", F.lower("op")), "op"),
+    "stream_running_counts": lambda s, d: C.running_counts(_feed(s, d).withColumn("op", F.lower("op")), "op"),
     "t7_affected_projects": lambda s, d: I.affected_projects(_t(s, d, "file_changes")[0]),
-    "t8_stream_windows": lambda s, d: C.windowed_counts(C.read_stream(s, f"{d}/events.parquet"), "ts", "event_type"),
-    "t8_sessions": lambda s, d: C.sessions(_t(s, d, "events")[0], "ts", "user_id"),
+    "stream_event_windows": lambda s, d: C.windowed_counts(C.read_stream(s, f"{d}/events.parquet"), "ts", "event_type"),
+    "event_sessions": lambda s, d: C.sessions(_t(s, d, "events")[0], "ts", "user_id"),
 }
 
 _FEED = "(select replace(lower(path), chr(92), '/') as path_lower, * from file_changes where path is not null)"
@@ -157,16 +241,60 @@ ORACLE = {
     "k13_index_status": """
         select x.language, coalesce(max_by(case when value > 50 then 'ready' when value is not null then 'indexing' end, (ts, event_id)), 'pending') as status
         from (values ('click'), ('view'), ('config'), ('content')) as x(language) left join events e on e.event_type = x.language group by x.language""",
-    "k14_argument_summary": "select doc_id, case when length(text) > 50 then substr(text, 1, 50) || '...' else text end as summary from documents",
+    "k10_without_project": "select id from assets where project is distinct from 'Tidegate-Content'",
+    "k10_without_paths": "select id from assets a where not exists (select 1 from assets b where b.path = a.path and asset_class = 'Material')",
+    "k10_without_language": """
+        select path, 'type' as entity, t.name, kind, line from types t join files f on f.id = t.file_id where language <> 'angelscript'
+        union all select path, 'member', m.name, member_kind, line from (select distinct * from members) m join files f on f.id = m.file_id where language <> 'angelscript'""",
+    "k15_argument_summary": "select doc_id, case when length(text) > 50 then substr(text, 1, 50) || '...' else text end as query, cast(n_chars as varchar) as limit from documents",
+    "n3_rebuild_language": """
+        select f.id, f.path, f.mtime, c.content_hash from files f left join file_content c on c.file_id = f.id and content is not null
+        where not (language = 'angelscript' and project = 'Tidegate')""",
+    "n5_rebuild_project": """
+        select name, 0 as n_orphans from (values ('types'), ('members'), ('file_content')) as x(name)
+        union all select 'files', count(*) from files where module <> 'Tidegate' or project = 'Tidegate-Cpp'""",
+    "n5_orphan_counts": """
+        with cpp as (select id from files where language = 'cpp'),
+        rows as (select 'types' as name, file_id from types union all select 'members', file_id from (select distinct * from members) union all select 'file_content', file_id from file_content)
+        select name, count(*) as n_rows, count(*) filter (where file_id is null or file_id not in (select id from cpp)) as n_orphans from rows group by name""",
+    "x2_migrated_files": "select * from files",
+    "x3_readiness": """
+        select x.flag, coalesce(max_by(value > 50, (ts, event_id)), false) as ready from (values ('click'), ('view'), ('nameTrigram')) as x(flag)
+        left join events e on e.event_type = x.flag and value is not null group by x.flag""",
     "t1_last_events": f"select path_lower, max_by(lower(op), (received_at, delivery_id)) as op from {_FEED} group by 1",
     "t2_ingest": """
         select 'files' as name, count(*) as n, count(distinct id) as n_ids from files where project <> 'Tidegate-Cpp'
         union all select 'file_content', count(*), count(distinct file_id) from file_content where file_id not in (select id from files where project = 'Tidegate-Cpp')""",
+    "t2_ingested_rows": """
+        with gone as (select id from files where project = 'Tidegate-Cpp'), kept as (select id from files where project not in ('Tidegate-Cpp', 'Tidegate'))
+        select 'text' as entity, file_id, content_hash as value from file_content where file_id not in (select id from gone)
+        union all select 'type', file_id, id from types where file_id in (select id from kept)
+        union all select 'member', file_id, id from (select distinct * from members) where file_id in (select id from kept)""",
     "t2_stream_state": CORE["p4_found"],
-    "t5_stream_counts": "select lower(op) as op, count(*) as n from file_changes group by 1",
+    "t5_empty_languages": """
+        select language from (values ('cpp'), ('angelscript'), ('python'), ('content')) as x(language)
+        where language not in (select language from files) and not (language = 'content' and exists (select 1 from assets))""",
+    "t5_full_scan": "select path, (row_number() over (order by path) - 1) // 50 as batch from files where language = 'cpp'",
+    "t8_refreshed_depths": """
+        with recursive links as (
+            select distinct name as child, parent from types where name is not null and parent <> '' and parent in (select name from types)),
+        walk as (
+            select distinct name, 0 as depth, [name] as path from types where name is not null and name not in (select child from links)
+            union all
+            select l.child, w.depth + 1, list_append(w.path, l.child) from walk w join links l on l.parent = w.name where not list_contains(w.path, l.child)),
+        best as (select name, min(depth) as depth from walk group by name)
+        select t.id, t.name, cast(b.depth as integer) as depth from types t left join best b on b.name = t.name""",
+    "t9_ingest_counters": """
+        with counts as (
+            select 'files' as name, count(*) as n_before, count(*) filter (where project <> 'Tidegate') as n_after, 0 as n_added, count(*) filter (where project = 'Tidegate') as n_removed from files
+            union all select 'types', count(*), count(*), 0, 0 from types union all select 'members', count(distinct id), count(distinct id), 0, 0 from members
+            union all select 'file_content', count(*), count(*), 0, 0 from file_content
+            union all select 'assets', count(*), count(*), count(*) filter (where id % 2 = 0 and id <> 0), count(*) filter (where id % 2 = 0 and id <> 0) from assets)
+        select *, timestamp '2026-01-01 00:00:00' as last_ingest from counts""",
+    "stream_running_counts": "select lower(op) as op, count(*) as n from file_changes group by 1",
     "t7_affected_projects": "select project, count(*) as pending, least(30000, 2000 + 200 * count(*)) as delay_ms from file_changes group by project",
-    "t8_stream_windows": "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2",
-    "t8_sessions": """
+    "stream_event_windows": "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2",
+    "event_sessions": """
         with steps as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as opens from events),
         runs as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as run from steps)
         select user_id, min(ts) as start, max(ts) + interval 30 minutes as "end", count(*) as n from runs group by user_id, run""",

@@ -75,7 +75,7 @@ QUERIES = {
     "pred_known": _exists,
     "pred_wanted_paths": lambda s, d: _one(s, d, "files").where(scan.wanted(F.col("path"), [".h", ".cpp"], ["**/Private/**", "Generated"])).select("id", "path"),
     "pred_definition_lines": lambda s, d: text.lines(_one(s, d, "file_content")).groupBy(scoring.is_definition(F.col("text")).alias("defines")).agg(F.count("*").alias("n_lines")),
-    "s11_projects_of_paths": _projects_of,
+    "pred_projects_of_paths": _projects_of,
     "o4_jaccard": _jaccard,
     "c17_near_jaccard": _near_jaccard,
     "c19_plain_match": lambda s, d: _one(s, d, "types").select("id", scoring.plain_match(F.col("name"), QUERY).alias("score")).where("score is not null"),
@@ -83,7 +83,6 @@ QUERIES = {
     "c22_clean_paths": _clean,
     "c30_json": lambda s, d: _one(s, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("t"), F.get_json_object("props", "$.k").cast("int").alias("k"))).alias("json")),
     "c34_rewritten_query": _rewritten,
-    "k10_without_project": lambda s, d: _one(s, d, "assets").where("project <> 'Tidegate-Content'").select("id"),
     "j5_types_by_language": lambda s, d: _one(s, d, "types").join(_one(s, d, "files").select(F.col("id").alias("file_id"), "language"), "file_id").groupBy("language", "kind").agg(F.count("*").alias("n")),
     "j13_hit_context": lambda s, d: context_of(_one(s, d, "members").dropDuplicates(["id"]).select("id", "file_id", "line"), _one(s, d, "file_content"), 1).select("id", "signature"),
 }
@@ -111,7 +110,7 @@ ORACLE = {
     "pred_known": "select count(*) > 0 as known from types where name = 'UCoreObject'",
     "pred_wanted_paths": "select id, path from files where (path like '%.h' or path like '%.cpp') and not path like '%/Private/%' and not path like '%Generated%'",
     "pred_definition_lines": f"select {_DEFINES} as defines, count(*) as n_lines from {_LINES} group by 1",
-    "s11_projects_of_paths": """
+    "pred_projects_of_paths": """
         select id, case when lower(path) like 'd:/harbor/game/%' then 'Game' when lower(path) like 'd:/harbor/%' or lower(path) like 'd:/tide/%' then 'All' end as owner,
                case when lower(path) like 'd:/harbor/game/%' then 'D:/harbor/Game' when lower(path) like 'd:/harbor/%' then 'd:/harbor' when lower(path) like 'd:/tide/%' then 'D:/tide' end as base from files""",
     "o4_jaccard": f"""
@@ -128,7 +127,6 @@ ORACLE = {
     "c34_rewritten_query": f"""
         select file_id, count(*) as n_lines from {_LINES} where contains(text, 'Anchor')
         and file_id in (select id from files where project = 'Engine' and language = 'cpp' and path_lower like '%/kernel/%' and not path_lower like '%generated%') group by file_id""",
-    "k10_without_project": "select id from assets where project <> 'Tidegate-Content'",
     "j5_types_by_language": "select language, kind, count(*) as n from types t join files f on f.id = t.file_id group by all",
     "j13_hit_context": """
         select m.id, case when line between 1 and len(ls) then trim(ls[line], ' ') end as signature

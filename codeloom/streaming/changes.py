@@ -35,6 +35,15 @@ class Versions:
 
     def write(self, batch: int, frame: DataFrame) -> None:
         frame.write.mode("overwrite").parquet(f"{self.root}/v{batch}")
+        self._finish(batch)
+
+    def write_all(self, batch: int, frames: dict[str, DataFrame]) -> None:
+        """Several tables that become current together."""
+        for name, frame in frames.items():
+            frame.write.mode("overwrite").parquet(f"{self.root}/v{batch}/{name}")
+        self._finish(batch)
+
+    def _finish(self, batch: int) -> None:
         fs, p = self._fs(f"{self.root}/done/{batch}")
         fs.create(p, True).close()
         old, q = self._fs(f"{self.root}/v{batch - 2}")
@@ -61,17 +70,23 @@ def _made(spark: SparkSession, folder: str) -> str:
     return folder
 
 
-def _run(stream: DataFrame, each, mode: str = "append") -> None:
-    place = f"{shared_folder(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _run(stream: DataFrame, each, folder: str | None, mode: str = "append") -> None:
+    place = f"{folder.rstrip('/')}/checkpoint" if folder else f"{shared_folder(stream.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def maintain_state(changes: DataFrame) -> DataFrame:
+def _versions(spark: SparkSession, folder: str | None, label: str) -> Versions:
+    return Versions(spark, f"{folder.rstrip('/')}/state" if folder else Scratch(spark, label).root)
+
+
+def maintain_state(changes: DataFrame, folder: str | None = None) -> DataFrame:
     """The composed patch of each path after all of a stream of file changes. Each batch is composed in itself and then
-    with the state so far: composition is associative, so batches may bring changes late, again or out of order."""
+    with the state so far: composition is associative, so batches may bring changes late, again or out of order.
+    ``folder`` holds state and checkpoint: a stream that is started again with it goes on where it stopped. Without it the
+    stream is read from its beginning."""
     spark = changes.sparkSession
-    versions = Versions(spark, f"{Scratch(spark, 'state').root}")
+    versions = _versions(spark, folder, "state")
 
     def each(batch: DataFrame, number: int) -> None:
         now = versions.current()
@@ -81,15 +96,15 @@ def maintain_state(changes: DataFrame) -> DataFrame:
         state = versions.read()
         versions.write(number, own if state is None else patches.compose(state.unionByName(own), "path_lower"))
 
-    _run(changes, each)
+    _run(changes, each, folder)
     state = versions.read()
     return patches.composed(spark.createDataFrame([], changes.schema)) if state is None else state
 
 
-def running_counts(stream: DataFrame, *keys: str) -> DataFrame:
-    """Counts per key, kept up to date by a stream; the latest of each key."""
+def running_counts(stream: DataFrame, *keys: str, folder: str | None = None) -> DataFrame:
+    """Counts per key, kept up to date by a stream; the latest of each key. ``folder`` as in ``maintain_state``."""
     spark = stream.sparkSession
-    versions = Versions(spark, f"{Scratch(spark, 'counts').root}")
+    versions = _versions(spark, folder, "counts")
 
     def each(batch: DataFrame, number: int) -> None:
         now = versions.current()
@@ -98,7 +113,7 @@ def running_counts(stream: DataFrame, *keys: str) -> DataFrame:
         own, state = batch.groupBy(*keys).agg(F.count("*").alias("n")), versions.read()
         versions.write(number, own if state is None else state.unionByName(own).groupBy(*keys).agg(F.sum("n").alias("n")))
 
-    _run(stream, each)
+    _run(stream, each, folder)
     counts = versions.read()
     return spark.createDataFrame([], stream.schema).groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
 
@@ -111,7 +126,7 @@ def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day"
 
 def sessions(stream: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "60 days") -> DataFrame:
     """Sessions per key: runs of events less than a gap apart, with their first time, end and number of events. A session
-    comes out when the watermark has passed its end, or from ``open_sessions`` over the same rows."""
+    comes out when the watermark has passed its end; over a frame that is no stream, all come out."""
     timed = stream.withColumn("_t", F.col(time).cast("timestamp"))
     if stream.isStreaming:
         timed = timed.withWatermark("_t", late)
