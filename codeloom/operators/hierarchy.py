@@ -56,37 +56,51 @@ def hash_seed(names: DataFrame) -> int:
     return seed
 
 
-def _peel(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """Takes away links from leaves and links to roots, round by round, while that removes a fair share of them."""
+def _heavy(links: DataFrame, column: str, rows: int) -> list[int]:
+    """The values of a column of links that stand on more than ``HEAVY_SHARE`` of them: at most its inverse."""
+    limit = max(1, int(rows * HEAVY_SHARE))
+    return [r[0] for r in links.groupBy(column).count().where(F.col("count") > limit).select(column).collect()]
+
+
+def _peel(links: DataFrame, scratch: Scratch, share: float = PEEL_SHARE) -> DataFrame:
+    """Takes away links from leaves and links to roots, round by round, while that removes at least a share of them. A round
+    is one job: a link stays if its child has children and its parent has parents. Parents with very many children are
+    looked for once; they are joined without a shuffle of their links."""
     links, found = scratch.measured(links, rows=F.count(F.lit(1)))
-    count = found["rows"]
-    while count:
-        degree = links.groupBy("p").agg(F.count("*").alias("n"))
-        inner = scratch.save(links.join(degree.select(F.col("p").alias("c")), "c", "left_semi"))  # its child has children
-        degree = inner.groupBy("p").agg(F.count("*").alias("n"))
-        roots = scratch.save(degree.join(inner.select(F.col("c").alias("p")).distinct(), "p", "left_anti"))
-        limit = max(1, int(count * HEAVY_SHARE))
-        heavy = [r[0] for r in roots.where(F.col("n") > limit).select("p").collect()]
-        core, found = scratch.measured(heavy_light_join(inner, roots.select("p"), "p", heavy, "left_anti"), rows=F.count(F.lit(1)))
-        left = found["rows"]
-        scratch.drop(links, inner, roots)
-        links, before, count = core, count, left
-        if before - left < PEEL_SHARE * before:
+    heavy = _heavy(links, "p", found["rows"]) if found["rows"] else []
+    while found["rows"]:
+        inner = links.join(links.select(F.col("p").alias("c")).distinct(), "c", "left_semi")
+        core, left = scratch.measured(heavy_light_join(inner, links.select(F.col("c").alias("p")).distinct(), "p", heavy, "left_semi"), rows=F.count(F.lit(1)))
+        scratch.drop(links)
+        links, before, found = core, found["rows"], left
+        if before - found["rows"] < max(1, share * before):
             break
     return links
 
 
 def _spread(edges: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
-    """The largest label that reaches each node along the edges (a, b): label(b) = max of its own and of its sources'."""
+    """The largest label (n, l) that reaches each node along the edges (a, b): that of b is the largest of its own and of its
+    sources'. A round passes on only the labels that changed in the one before."""
+    state = label.withColumn("up", F.lit(True))
+    while True:
+        came = edges.join(state.where("up").select(F.col("n").alias("a"), "l"), "a").groupBy(F.col("b").alias("n")).agg(F.max("l").alias("m"))
+        grown, found = scratch.measured(state.join(came, "n", "left").select("n", F.greatest("l", "m").alias("l"), F.coalesce(F.col("m") > F.col("l"), F.lit(False)).alias("up")), changed=F.count_if("up"))
+        scratch.drop(state)
+        state = grown
+        if not found["changed"]:
+            return state
+
+
+def _reached(edges: DataFrame, start: int, scratch: Scratch) -> DataFrame:
+    """The nodes ``n`` that can be reached from a node along the edges (a, b), itself included; only the newest are searched
+    from in a round."""
+    front = scratch.save(edges.sparkSession.createDataFrame([(start,)], "n long"))
+    known = front
     while True:
-        came = edges.join(label.withColumnRenamed("n", "a"), "a").groupBy(F.col("b").alias("n")).agg(F.max("l").alias("m"))
-        grown, found = scratch.measured(label.join(came, "n", "left").select("n", F.greatest("l", "m").alias("l"), (F.col("m") > F.col("l")).alias("up")), changed=F.count_if(F.coalesce("up", F.lit(False))))
-        changed = found["changed"] > 0
-        scratch.drop(label)
-        label = grown.select("n", "l")
-        label._scratch_path = grown._scratch_path
-        if not changed:
-            return label
+        new, found = scratch.measured(edges.join(front.select(F.col("n").alias("a")), "a", "left_semi").select(F.col("b").alias("n")).distinct().join(known, "n", "left_anti"), rows=F.count(F.lit(1)))
+        if not found["rows"]:
+            return known
+        known, front = scratch.save(known.unionByName(new)), new
 
 
 def _components(batches: Iterable[pd.DataFrame]):
@@ -134,29 +148,49 @@ def _components(batches: Iterable[pd.DataFrame]):
     yield pd.DataFrame(found, columns=["n", "component"], dtype="int64")
 
 
+def _around(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The strong component of the node with most ways through it (``n``, ``component``), and the links left between other
+    nodes: those within what it reaches, within what reaches it, or within the rest, as no component lies across."""
+    ways = edges.groupBy(F.col("a").alias("n")).agg(F.count("*").alias("o")).join(edges.groupBy(F.col("b").alias("n")).agg(F.count("*").alias("i")), "n")
+    pivot = ways.orderBy((F.col("o") * F.col("i")).desc(), "n").limit(1).first()
+    if pivot is None:
+        return edges.sparkSession.createDataFrame([], "n long, component long"), edges.limit(0)
+    down = _reached(edges, pivot["n"], scratch)
+    up = _reached(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), pivot["n"], scratch)
+    side = down.withColumn("s", F.lit(1)).unionByName(up.withColumn("s", F.lit(2))).groupBy("n").agg(F.sum("s").alias("s"))
+    side = scratch.save(side)
+    part = side.where("s = 3").select("n", F.lit(pivot["n"]).alias("component"))
+    both = edges.join(side.select(F.col("n").alias("a"), F.col("s").alias("sa")), "a", "left").join(side.select(F.col("n").alias("b"), F.col("s").alias("sb")), "b", "left")
+    return part, both.where("coalesce(sa, 0) = coalesce(sb, 0) and coalesce(sa, 0) <> 3").select("a", "b")
+
+
 def strong_components(edges: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS) -> DataFrame:
     """Nodes of the strong components of two or more nodes: ``n`` and ``component``; ``edges`` (a, b) without loops.
     Up to ``task_links`` links are searched in one task, more as follows.
 
-    Each node takes the largest node that reaches it as colour; the nodes of a colour that reach back to its name are
-    one component. They are taken out, links between colours (which lie on no cycle) too, and the rest goes again.
+    Leaves and roots are peeled. The component of the node with most ways through it, mostly the largest, is what it
+    reaches and is reached from. Of the rest each node takes the largest node that reaches it as colour; the nodes of a
+    colour that reach back to its name are one component. What is found is taken out, links between colours (which lie on
+    no cycle) too, and the rest goes again.
     """
     (edges, size), found = scratch.measured(edges.distinct(), rows=F.count(F.lit(1))), None
     while size["rows"] > task_links:
-        edges = _peel(edges.select(F.col("a").alias("c"), F.col("b").alias("p")), scratch)
+        edges = _peel(edges.select(F.col("a").alias("c"), F.col("b").alias("p")), scratch, share=0.0)
+        part, rest = _around(edges.select(F.col("c").alias("a"), F.col("p").alias("b")), scratch)
+        found = part if found is None else found.unionByName(part)
+        edges = _peel(rest.select(F.col("a").alias("c"), F.col("b").alias("p")), scratch, share=0.0)
         edges, size = scratch.measured(edges.select(F.col("c").alias("a"), F.col("p").alias("b")), rows=F.count(F.lit(1)))
         if size["rows"] <= task_links:
             break
         nodes = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
-        colour = scratch.save(_spread(edges, scratch.save(nodes.select("n", F.col("n").alias("l"))), scratch))
+        colour = _spread(edges, scratch.save(nodes.select("n", F.col("n").alias("l"))), scratch).select("n", "l")
         within = edges.join(colour.select(F.col("n").alias("a"), F.col("l").alias("ca")), "a").join(colour.select(F.col("n").alias("b"), F.col("l").alias("cb")), "b")
         within = scratch.save(within.where("ca = cb").select("a", "b"))
         start = scratch.save(colour.select("n", F.when(F.col("n") == F.col("l"), 1).otherwise(0).alias("l")))
         back = _spread(within.select(F.col("b").alias("a"), F.col("a").alias("b")), start, scratch)
         part = scratch.save(back.where("l = 1").join(colour.withColumnRenamed("l", "component"), "n").select("n", "component"))
         rest, size = scratch.measured(within.join(part.select(F.col("n").alias("a")), "a", "left_anti").join(part.select(F.col("n").alias("b")), "b", "left_anti"), rows=F.count(F.lit(1)))
-        scratch.drop(edges, within, colour)
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(part)
         edges = rest
     last = edges.repartition(1).mapInPandas(_components, "n long, component long")
     found = last if found is None else found.unionByName(last)
@@ -217,9 +251,10 @@ def euler_tour(forest: DataFrame, scratch: Scratch, names: bool = False) -> Data
     step, far = 1, not forest.where("p is not null").isEmpty()
     while far:
         given = state.where(F.col("depth") == step).groupBy(F.col("to").alias("n")).agg(F.sum("size").alias("more"))
-        grown = scratch.save(state.join(given, "n", "left").select("n", "to", "depth", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "done"))
-        moved, found = scratch.measured(_jump(grown, {"to": F.col("o_to"), "depth": F.col("depth") + F.col("o_depth"), "done": F.col("o_done"), "size": F.col("size")}, ~F.col("done")), far=F.count_if(F.col("depth") == 2 * step))
-        scratch.drop(state, grown)
+        moved = _jump(state, {"to": F.col("o_to"), "depth": F.col("depth") + F.col("o_depth"), "done": F.col("o_done"), "size": F.col("size")}, ~F.col("done"))
+        moved = moved.join(given, "n", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).select("n", "to", "depth", "size", "done")
+        moved, found = scratch.measured(moved, far=F.count_if(F.col("depth") == 2 * step))
+        scratch.drop(state)
         state, step, far = moved, 2 * step, found["far"]
     kept = forest.select("n", "p", *(["name"] if names else []))
     sized = state.select("n", F.col("to").alias("root"), "depth", "size").join(kept, "n")
