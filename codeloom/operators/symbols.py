@@ -329,6 +329,9 @@ def find_types_batch(types: DataFrame, files: DataFrame, wanted: DataFrame, limi
     keys = asked.select("query", F.explode(F.array_union(F.array("query"), spellings)).alias("name"))
     keys = keys.withColumn("stage", F.when(F.col("name") == F.col("query"), 0).otherwise(1))
     found = typed_files(types, files, Options()).join(keys, "name")
+    # The stage leads the order, so the first rows of a name hold those of its best stage. A limit on a row number is applied
+    # where the rows are read too (partial window group limit), so a name on very many rows does not gather in one task.
     first = Window.partitionBy("query").orderBy("stage", F.when(F.col("path").rlike(scoring.HEADER), 0).otherwise(1), "id")
-    ranked = found.withColumn("best", F.min("stage").over(Window.partitionBy("query"))).where("stage = best").withColumn("rank", F.row_number().over(first))
-    return ranked.where(F.col("rank") <= limit).select("query", "rank", "name", "kind", "parent", "line", "path", "project", F.when(F.col("stage") == 1, "prefix-variant").otherwise("exact").alias("match_reason"))
+    ranked = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit)
+    ranked = ranked.withColumn("best", F.min("stage").over(Window.partitionBy("query"))).where("stage = best")
+    return ranked.select("query", "rank", "name", "kind", "parent", "line", "path", "project", F.when(F.col("stage") == 1, "prefix-variant").otherwise("exact").alias("match_reason"))

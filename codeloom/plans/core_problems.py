@@ -82,6 +82,27 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("ref_table", "period").agg(F.count("*").alias("n_orphans"), F.count_distinct("reference").alias("n_references"))
 
 
+def _owners(spark: SparkSession, d: str):
+    """The reference of each member to its owner, by type and file together, either of which may be null."""
+    members = table(spark, d, "members").dropDuplicates(["id"]).select("id", "type_id", "file_id")
+    return members, table(spark, d, "types").select(F.col("id").alias("type_id"), "file_id")
+
+
+def p3_owner_references(spark: SparkSession, d: str) -> DataFrame:
+    """Composite references with partial nulls: (``type_id``, ``file_id``) of members, and (``name``, ``parent``) of assets'
+    and types' declarations read as a reference to a declaration of that name and parent. How many values and rows find
+    nothing under each semantics."""
+    members, types = _owners(spark, d)
+    declared = table(spark, d, "types").select("name", "parent")
+    assets = table(spark, d, "assets").select("name", F.col("parent_class").alias("parent"))
+    parts = None
+    for name, rows, columns, targets in (("members", members, ["type_id", "file_id"], types), ("assets", assets, ["name", "parent"], declared)):
+        for match in ("simple", "partial", "full"):
+            lost = orphans.orphan_values(rows, columns, targets, match).agg(F.lit(name).alias("ref_table"), F.lit(match).alias("match"), F.count("*").alias("n_values"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+            parts = lost if parts is None else parts.unionByName(lost)
+    return parts
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return patches.present_paths(table(spark, d, "file_changes"))
 
@@ -112,7 +133,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.all_descendants(table(spark, d, "types"), table(spark, d, "assets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_figures, p2_measures, p3_found, p3_report, p4_found, p4_state, p5_found, p5_hierarchy, p5_paths, p5_counts, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_figures, p2_measures, p3_found, p3_report, p3_owner_references, p4_found, p4_state, p5_found, p5_hierarchy, p5_paths, p5_counts, p5_descendants)}
 
 _KEYED = """
     select 'types.parent' as field_name, parent as key_value, id from types
@@ -186,6 +207,23 @@ ORACLE = {
         from fields group by 1, 2""",
     "p3_found": f"{_ORPHANS} select ref_table, period, row_id from dated",
     "p3_report": f"{_ORPHANS} select ref_table, period, count(*) as n_orphans, count(distinct reference) as n_references from dated group by 1, 2",
+    "p3_owner_references": " union all ".join(
+        f"""select '{name}' as ref_table, '{match}' as match, count(*) as n_values, cast(coalesce(sum(n), 0) as bigint) as n_rows
+            from (select {a}, {b}, count(*) as n from {rows} group by all) r where {lost}"""
+        for name, a, b, rows, targets in (
+            ("members", "type_id", "file_id", "(select distinct id, type_id, file_id from members)", "(select id as type_id, file_id from types)"),
+            ("assets", "name", "parent", "(select name, parent_class as parent from assets)", "(select name, parent from types)"),
+        )
+        for match, lost in (
+            ("simple", f"{a} is not null and {b} is not null and not exists (select 1 from {targets} t where t.{a} = r.{a} and t.{b} = r.{b})"),
+            ("partial", f"""({a} is not null or {b} is not null) and not (
+                case when {a} is null then exists (select 1 from {targets} t where t.{b} = r.{b})
+                     when {b} is null then exists (select 1 from {targets} t where t.{a} = r.{a})
+                     else exists (select 1 from {targets} t where t.{a} = r.{a} and t.{b} = r.{b}) end)"""),
+            ("full", f"""({a} is not null or {b} is not null) and ({a} is null or {b} is null
+                or not exists (select 1 from {targets} t where t.{a} = r.{a} and t.{b} = r.{b}))"""),
+        )
+    ),
     "p4_found": f"{_CHANGES} select path_lower, mark[1] as session_no, mark[2] as event_seq from last where op <> 'unlink'",
     "p4_state": f"""{_CHANGES},
         cleared as (select path_lower, max((session_no, event_seq)) as cut from feed where op = 'unlink' group by 1),

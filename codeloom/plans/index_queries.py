@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import names as N
 from codeloom.functions import scoring, text, trigrams
-from codeloom.functions.scoring import DEFINITIONS
 from codeloom.operators import content as G
 from codeloom.operators import logs as L
 from codeloom.operators import statistics as A
 from codeloom.operators.symbols import first_types
+from codeloom.plans import expected as E
 from codeloom.plans.search_queries import STRUCTURE, _quoted, _t, camel_sql, trigram_sql
 
 NOW_MS = 1_780_000_000_000
@@ -135,7 +135,7 @@ def grep_sql(pattern: str, context: int = 0, extra: str = "", flags: str = "c")
         where regexp_matches(l.text, '{pattern}', '{flags}') {extra})"""
 
 
-_DEFINES = f"not regexp_matches(text, '^\\s*(//|/\\*|\\*)') and regexp_matches(text, '{'|'.join(f'(?:{p})' for p in DEFINITIONS)}')"
+_DEFINES = f"not regexp_matches(text, '^\\s*(//|/\\*|\\*)') and regexp_matches(text, '{E.DEFINES}')"
 _NEAR = f"""
     symbols as (
         select file_id, line as at, name as symbol, kind as symbol_kind, 'type' as entity, 0 as rank, id from types
@@ -177,7 +177,7 @@ ORACLE = {
     "a7_by_session": f"select cast(row_number() over (order by max(timestamp) desc, session_id) as integer) as rank, session_id, count(*) as n, min(timestamp) as first_call, max(timestamp) as last_call from {_TOOL} group by session_id order by rank limit 20",
     "a8_query_listing": f"select cast(row_number() over (order by timestamp desc, id desc) as integer) as rank, id, method, duration_ms from {_LOG} where duration_ms >= 100 and timestamp >= timestamp '2024-01-10 00:00:00' and method = 'error' order by rank limit 50",
     "a9_weighted_mean": f"select round(avg(duration_ms), 4) as mean_ms, max(duration_ms) as max_ms from {_LOG}",
-    "a10_trigram_candidates": f"select entity_id, count(distinct trigram) as matched from {_POSTINGS} where entity_type = 'type' and trigram in ({_quoted(trigrams.trigram_list('NightKayak'))}) group by entity_id having count(distinct trigram) >= {trigrams.needed('NightKayak')}",
+    "a10_trigram_candidates": f"select entity_id, count(distinct trigram) as matched from {_POSTINGS} where entity_type = 'type' and trigram in ({_quoted(E.pieces('NightKayak'))}) group by entity_id having count(distinct trigram) >= {E.least_shared('NightKayak')}",
     "a11_language_status": "select language, count(*) as n, false as is_empty from files where language not in ('content', 'asset') group by language union all select 'content', count(*), count(*) = 0 from assets",
     "a12_freshness": "select project, max(mtime) as newest from files group by project",
     "a13_project_folders": """
@@ -219,7 +219,7 @@ ORACLE = {
                list_sort({trigram_sql('name')}) as grams, regexp_replace(lower(name), '^(get|set|is|has|can|should)', '') as core,
                case kind when 'class' then 0.04::double when 'struct' then 0.03::double when 'interface' then 0.03::double when 'enum' then 0.02::double when 'delegate' then 0.01::double when 'event' then 0.01::double else 0::double end as weight from types""",
     "c9_content_hash": "select file_id, content_hash from file_content",
-    "c11_specifier_boost": "select distinct id, round(least(0.08::double, coalesce(" + " + ".join(f"case when contains(specifiers, '{s}') then {v}::double else 0 end" for s, v in scoring.SPECIFIERS.items()) + ", 0)), 6) as boost from members",
+    "c11_specifier_boost": "select distinct id, round(least(0.08::double, coalesce(" + E.SPECIFIER_SQL + ", 0)), 6) as boost from members",
     "c13_structural_score": f"select t.id, {STRUCTURE} as structure from (select t.id, t.parent, f.path from types t join files f on f.id = t.file_id) t",
     "c15_definition_lines": f"select file_id, count(*) as n_definitions, cast(min(line) as integer) as first_line from {_LINES} where {_DEFINES} group by file_id",
     "c18_levenshtein": "select id, cast(levenshtein(lower(name), 'ucoreobject') as integer) as distance from types",
@@ -241,7 +241,7 @@ ORACLE = {
         flagged as (select *, contains(lower(match), 'tide') and contains(lower(match), 'clock') as inside, lower(array_to_string(context, chr(10))) as wide from hits)
         select path, line, match, not inside as near from flagged where inside or (contains(wide, 'tide') and contains(wide, 'clock'))""",
     "g4_asset_search": _asset_hits_sql("blueprint.*class", "i"),
-    "g7_trigram_files": "select file_id from file_content where " + " and ".join(f"contains(lower(content), '{g}')" for g in trigrams.trigram_list("DrainSocket")),
+    "g7_trigram_files": "select file_id from file_content where " + " and ".join(f"contains(lower(content), '{g}')" for g in E.pieces("DrainSocket")),
     "j7_symbols_near": f"with {grep_sql('Anchor')}, {_NEAR} select file_id, line, symbol, symbol_kind, entity from near where best = 1",
     "f17_context": """
         select t.id, case when line between 1 and len(ls) then trim(ls[line], ' ') end as signature, case when line between 1 and len(ls) then list_slice(ls, greatest(line - 2, 1), line + 2) end as context

@@ -9,6 +9,7 @@ from codeloom.functions import scoring, text, trigrams
 from codeloom.operators import statistics as A
 from codeloom.operators import symbols as S
 from codeloom.operators.content import context_of
+from codeloom.plans import expected as E
 from codeloom.plans.search_queries import _quoted, _t, camel_sql, share_sql, trigram_sql
 from codeloom.sources import scan
 
@@ -88,8 +89,8 @@ QUERIES = {
 }
 
 _LINES = "(select file_id, unnest(string_split(content, chr(10))) as text from file_content where content is not null)"
-_DEFINES = f"coalesce(not regexp_matches(text, '^\\s*(//|/\\*|\\*)') and regexp_matches(text, '{'|'.join(f'(?:{p})' for p in scoring.DEFINITIONS)}'), false)"
-_GRAMS = f"[{_quoted(GRAMS)}]"
+_DEFINES = f"coalesce(not regexp_matches(text, '^\\s*(//|/\\*|\\*)') and regexp_matches(text, '{E.DEFINES}'), false)"
+_GRAMS = f"[{_quoted(E.pieces(QUERY))}]"
 _Q = QUERY.lower()
 _RUNGS = f"""
     select id, round(case when c = '{_Q}' then 1::double when cs = '{_Q}' then 0.98::double when starts_with(c, '{_Q}') then 0.95::double when starts_with(cs, '{_Q}') then 0.93::double

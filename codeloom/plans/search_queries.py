@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.functions.names import PREFIXES, camel_words, prefix_variants
-from codeloom.functions.scoring import KINDS, SPECIFIERS
-from codeloom.functions.trigrams import needed, trigram_list
 from codeloom.operators import symbols as S
+from codeloom.plans import expected as E
 from codeloom.session import table
 
 
@@ -54,8 +52,8 @@ def share_sql(own: str, words: list[str], equal: bool) -> str:
 
 def type_rungs_sql(query: str) -> str:
     """Selects name, ..., score and match_reason from ``found``."""
-    q, qs = query.lower(), (query[1:] if query[:1] in PREFIXES else query).lower()
-    words = camel_words(query)
+    q, qs = query.lower(), (query[1:] if query[:1] in E.LETTERS else query).lower()
+    words = E.WORDS[query]
     rungs = [
         (f"c = '{q}'", 1.0, "exact"), (f"cs = '{qs}'", 0.98, "exact-stripped"), (f"cs = '{q}'", 0.97, "exact-stripped"),
         (f"starts_with(c, '{q}')", 0.95, "prefix"), (f"starts_with(cs, '{qs}')", 0.93, "prefix-stripped"), (f"starts_with(cs, '{q}')", 0.92, "prefix-stripped"),
@@ -69,7 +67,6 @@ def type_rungs_sql(query: str) -> str:
     qc = re.sub("^(get|set|is|has|can|should)", "", q)
     score = "case " + " ".join(f"when {c} then {s}::double" for c, s, _ in rungs) + " else 0.3::double end"
     reason = "case " + " ".join(f"when {c} then '{r}'" for c, _, r in rungs) + " else 'trigram' end"
-    kinds = "case kind " + " ".join(f"when '{k}' then {v}::double" for k, v in KINDS.items()) + " else 0 end"
     base = f"select *, lower(name) as c, lower(regexp_replace(name, '^[UAFESI]', '')) as cs, {camel_sql('name')} as own from found"
     first = f"select *, {score} as s0, {reason} as r0, regexp_replace(c, '^(get|set|is|has|can|should)', '') as cc from ({base})"
     if qc and qc != q:
@@ -77,7 +74,7 @@ def type_rungs_sql(query: str) -> str:
             case when s0 < 0.85 and cc = '{qc}' then 'getter-setter' when s0 < 0.85 and contains(cc, '{qc}') and r0 = 'trigram' then 'getter-setter-partial' else r0 end as match_reason from ({first})"""
     else:
         second = f"select *, s0 as s1, r0 as match_reason from ({first})"
-    return f"select *, round(s1 + {kinds} + case when depth is not null then greatest(0::double, 0.03::double - depth * 0.005::double) else 0 end, 6) as score from ({second})"
+    return f"select *, round(s1 + {E.KIND_SQL} + case when depth is not null then greatest(0::double, 0.03::double - depth * 0.005::double) else 0 end, 6) as score from ({second})"
 
 
 def find_type_sql(name: str, kind: str | None = None, project: str | None = None, limit: int = 10) -> str:
@@ -87,7 +84,7 @@ def find_type_sql(name: str, kind: str | None = None, project: str | None = None
     return f"""
     with found as (
         select t.id, t.name, t.kind, t.parent, t.line, f.path, f.project, case when t.name = '{name}' then 0 else 1 end as stage
-        from types t join files f on f.id = t.file_id where t.name in ({_quoted([name, *prefix_variants(name)])}){only}
+        from types t join files f on f.id = t.file_id where t.name in ({_quoted([name, *E.variants(name)])}){only}
         union all
         select id, name, 'class', parent_class, 0, content_path, project, case when name = '{name}' then 2 else 3 end
         from assets where asset_class is not null and name in ('{name}', {base}){own}),
@@ -101,11 +98,11 @@ def find_type_sql(name: str, kind: str | None = None, project: str | None = None
 
 
 def fuzzy_type_sql(query: str, limit: int = 10, assets: bool = False) -> str:
-    q, qs = query.lower(), (query[1:] if query[:1] in PREFIXES else query).lower()
-    starts = sorted({q} | {p.lower() + x for p in PREFIXES for x in {q, qs}})
+    q, qs = query.lower(), (query[1:] if query[:1] in E.LETTERS else query).lower()
+    starts = sorted({q} | {p.lower() + x for p in E.LETTERS for x in {q, qs}})
     near = " or ".join(f"starts_with(lower(t.name), '{s}')" for s in starts)
-    grams = trigram_list(q)
-    deep = f"len(list_intersect({trigram_sql('t.name')}, [{_quoted(grams)}])) >= {needed(q)}" if len(q) >= 3 and len(grams) >= 3 else f"contains(lower(t.name), '{q}')"
+    grams = E.pieces(q)
+    deep = f"len(list_intersect({trigram_sql('t.name')}, [{_quoted(grams)}])) >= {E.least_shared(q)}" if len(q) >= 3 and len(grams) >= 3 else f"contains(lower(t.name), '{q}')"
     extra = f"union all select id, name, 'class', parent_class, 0, content_path, project, null, 1 from assets where asset_class is not null and contains(lower(name), '{q}')" if assets else ""
     return f"""
     with flagged as (
@@ -136,9 +133,8 @@ def member_sql(name: str, containing: str | None = None, kind: str | None = None
 
 
 def fuzzy_member_sql(query: str, limit: int = 20) -> str:
-    q, grams, words = query.lower(), trigram_list(query), camel_words(query)
-    deep = f"len(list_intersect({trigram_sql('name')}, [{_quoted(grams)}])) >= {needed(q)}"
-    boost = " + ".join(f"case when contains(specifiers, '{s}') then {v}::double else 0 end" for s, v in SPECIFIERS.items())
+    q, grams, words = query.lower(), E.pieces(query), E.WORDS[query]
+    deep = f"len(list_intersect({trigram_sql('name')}, [{_quoted(grams)}])) >= {E.least_shared(q)}"
     union = f"len(list_distinct(list_concat({trigram_sql('name')}, [{_quoted(grams)}])))"
     tail = f"round(len(list_intersect({trigram_sql('name')}, [{_quoted(grams)}]))::double / {union} * 0.7::double, 9)"
     rung = f"c = '{q}' then {{}} when starts_with(c, '{q}') then {{}} when contains(c, '{q}') then {{}} when contains('{q}', c) and c <> '' then {{}} else {{}}"
@@ -152,7 +148,7 @@ def fuzzy_member_sql(query: str, limit: int = 20) -> str:
     scored as (
         select *, case when s0 < 0.7 and share >= 1 then 0.7::double when s0 < 0.5 and share >= 0.66 then 0.5::double else s0 end as s1,
                case when s0 < 0.7 and share >= 1 then 'word-match-all' when s0 < 0.5 and share >= 0.66 then 'word-match-most' else r0 end as match_reason from first),
-    final as (select *, round(s1 + least(0.08::double, coalesce({boost}, 0)), 6) as score from scored)
+    final as (select *, round(s1 + least(0.08::double, coalesce({E.SPECIFIER_SQL}, 0)), 6) as score from scored)
     select cast(row_number() over (order by score desc, id) as integer) as rank, name, type_name, member_kind, line, is_static, specifiers, path, project, score, match_reason
     from final where score >= 0.15 order by rank limit {limit}"""
 
@@ -203,7 +199,7 @@ def browse_sql(module: str, limit: int, max_files: int) -> str:
     union all select 'file', cast(rank as integer), name, kind, path, n > {max_files}, (select count(*) from inside) from plain where rank <= {max_files}"""
 
 
-_LETTERS = ", ".join(f"'{p}'" for p in PREFIXES)
+_LETTERS = ", ".join(f"'{p}'" for p in E.LETTERS)
 BATCH_SQL = f"""
     with asked as (select distinct regexp_replace(parent, '^[UAFESI]', '') as query from types where parent <> ''),
     keys as (
