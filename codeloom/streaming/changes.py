@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,63 @@ class Versions:
             old.delete(q, True)
 
 
+class State(Versions):
+    """Keyed state in versions: its rows are spread over buckets by the hash of their key, and a batch writes only the buckets
+    that its keys fall into. The file that names a version current says in which version each bucket was last written."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: tuple[str, ...], buckets: int = 256):
+        super().__init__(spark, root)
+        self.keys, self.buckets = keys, buckets
+
+    def places(self) -> dict[int, int]:
+        """The version in which each bucket was last written, as of the last finished batch."""
+        now = self.current()
+        if now is None:
+            return {}
+        fs, p = self._fs(f"{self.root}/done/{now[0]}")
+        stream = fs.open(p)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return {int(b): v for b, v in json.loads(text).items()}
+
+    def _read(self, places: dict[int, int]) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.root}/v{v}/_bucket={b}" for b, v in sorted(places.items())]) if places else None
+
+    def read(self) -> DataFrame | None:
+        return self._read(self.places())
+
+    def merge(self, batch: int, own: DataFrame, combine) -> None:
+        """Brings a batch's rows into the state: ``combine`` makes one row per key of old and new rows."""
+        own = own.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        own = Scratch(self.spark, "batch").save(own)
+        touched = [r[0] for r in own.select("_bucket").distinct().collect()]  # at most one per bucket
+        places = self.places()
+        old = self._read({b: v for b, v in places.items() if b in set(touched)})
+        new = own.drop("_bucket")
+        merged = combine(new if old is None else old.unionByName(new))
+        merged = merged.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        if touched:
+            merged.repartition(F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/v{batch}")
+        after = places | dict.fromkeys(touched, batch)
+        fs, p = self._fs(f"{self.root}/new-{batch}")
+        out = fs.create(p, True)
+        out.writeBytes(json.dumps(after))
+        out.close()
+        done_fs, done = self._fs(f"{self.root}/done/{batch}")
+        done_fs.mkdirs(done.getParent())
+        done_fs.delete(done, False)
+        done_fs.rename(p, done)
+        # What neither this version nor the one before it reads is deleted.
+        before = set(places.items())
+        for b, v in self._forgotten:
+            if (b, v) not in before and after.get(b) != v:
+                old_fs, gone = self._fs(f"{self.root}/v{v}/_bucket={b}")
+                old_fs.delete(gone, True)
+        self._forgotten = [(b, v) for b, v in places.items() if after[b] != v]
+
+    _forgotten: list[tuple[int, int]] = []
+
+
 def read_stream(spark: SparkSession, path: str, per_batch: int = 4) -> DataFrame:
     """A stream over the files of a stored table, a few files at a time."""
     schema = spark.read.parquet(path).schema
@@ -76,8 +134,8 @@ def _run(stream: DataFrame, each, folder: str | None, mode: str = "append") -> N
     query.awaitTermination()
 
 
-def _versions(spark: SparkSession, folder: str | None, label: str) -> Versions:
-    return Versions(spark, f"{folder.rstrip('/')}/state" if folder else Scratch(spark, label).root)
+def _state(spark: SparkSession, folder: str | None, label: str, *keys: str) -> State:
+    return State(spark, f"{folder.rstrip('/')}/state" if folder else Scratch(spark, label).root, keys)
 
 
 def maintain_state(changes: DataFrame, folder: str | None = None) -> DataFrame:
@@ -86,15 +144,13 @@ def maintain_state(changes: DataFrame, folder: str | None = None) -> DataFrame:
     ``folder`` holds state and checkpoint: a stream that is started again with it goes on where it stopped. Without it the
     stream is read from its beginning."""
     spark = changes.sparkSession
-    versions = _versions(spark, folder, "state")
+    versions = _state(spark, folder, "state", "path_lower")
 
     def each(batch: DataFrame, number: int) -> None:
         now = versions.current()
         if now and now[0] >= number:
             return
-        own = patches.composed(batch)
-        state = versions.read()
-        versions.write(number, own if state is None else patches.compose(state.unionByName(own), "path_lower"))
+        versions.merge(number, patches.composed(batch), lambda rows: patches.compose(rows, "path_lower"))
 
     _run(changes, each, folder)
     state = versions.read()
@@ -104,14 +160,13 @@ def maintain_state(changes: DataFrame, folder: str | None = None) -> DataFrame:
 def running_counts(stream: DataFrame, *keys: str, folder: str | None = None) -> DataFrame:
     """Counts per key, kept up to date by a stream; the latest of each key. ``folder`` as in ``maintain_state``."""
     spark = stream.sparkSession
-    versions = _versions(spark, folder, "counts")
+    versions = _state(spark, folder, "counts", *keys)
 
     def each(batch: DataFrame, number: int) -> None:
         now = versions.current()
         if now and now[0] >= number:
             return
-        own, state = batch.groupBy(*keys).agg(F.count("*").alias("n")), versions.read()
-        versions.write(number, own if state is None else state.unionByName(own).groupBy(*keys).agg(F.sum("n").alias("n")))
+        versions.merge(number, batch.groupBy(*keys).agg(F.count("*").alias("n")), lambda rows: rows.groupBy(*keys).agg(F.sum("n").alias("n")))
 
     _run(stream, each, folder)
     counts = versions.read()

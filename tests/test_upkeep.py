@@ -144,6 +144,28 @@ def test_strict_times(spark, tmp_path):
         assert names(stream.tables(), "types") == want
 
 
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    state = C.State(spark, f"{tmp_path}/s", ("k",), 16)
+    rows = lambda *ks: spark.createDataFrame([(k, 1) for k in ks], "k string, n long")
+    add = lambda t: t.groupBy("k").agg(F.sum("n").alias("n"))
+    assert state.read() is None
+    state.merge(0, rows(*"abcdefgh"), add)
+    first = state.places()
+    for batch in range(1, 5):
+        state.merge(batch, rows("a", "a", None), add)
+    got = {r.k: r.n for r in state.read().collect()}
+    assert got["a"] == 9 and got["b"] == 1 and got[None] == 4 and len(got) == 9
+    last = state.places()
+    assert sum(last[b] != first.get(b) for b in last) <= 2 and set(first) <= set(last)
+    import os
+
+    assert len([d for _, ds, _ in os.walk(f"{tmp_path}/s") for d in ds if d.startswith("_bucket")]) <= len(last) + 4
+    state.merge(5, rows(), add)  # an empty batch
+    assert {r.k: r.n for r in state.read().collect()} == got
+
+
 def test_state_is_kept_between_runs(spark, tmp_path):
     from codeloom.operators import patches
     from tests.test_patches import feed, random_feed
