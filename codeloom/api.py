@@ -115,12 +115,18 @@ class Index:
         o = self.options("find_children", **filters)
         return closure.children(*self._tables("types", "files", "assets"), self.check_text(parent, "parent"), recursive, o.project, o.language, o.max_results)
 
-    def explain_type(self, name: str, max_functions: int = 30, max_properties: int = 30, max_children: int = 20) -> dict[str, DataFrame]:
-        """A type's declaration, its members in buckets, and what lies below it."""
+    def explain_type(self, name: str, max_functions: int = 30, max_properties: int = 30, max_children: int = 20, context_lines: int = 0) -> dict[str, DataFrame]:
+        """A type's declaration, its members in buckets, and what lies below it. With ``context_lines`` declaration and
+        members come with the line they stand on (``signature``) and the lines around it (``context``)."""
         name = self.check_text(name, "name")
+        members, types, texts = self._tables("members", "types", "file_content")
+        inside = symbols.members_of(members, types, name, max_functions, max_properties)
+        if context_lines:
+            placed = inside.join(members.select("id", "file_id").dropDuplicates(["id"]), "id")
+            inside = content.context_of(placed, texts, context_lines).drop("file_id")
         return {
-            "type": self.find_type(name, max_results=1),
-            "members": symbols.members_of(*self._tables("members", "types"), name, max_functions, max_properties),
+            "type": self.find_type(name, max_results=1, context_lines=context_lines),
+            "members": inside,
             "children": self.find_children(name, max_results=max_children),
         }
 

@@ -46,6 +46,15 @@ def postings(types: DataFrame, members: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def updated(posted: DataFrame, gone: DataFrame, types: DataFrame, members: DataFrame) -> DataFrame:
+    """Postings after a change: without the symbols of ``gone`` (``entity_type``, ``entity_id``), with those of the new ``types``
+    and ``members``. Symbols that were posted already are posted once."""
+    new = postings(types, members)
+    old = posted.join(gone.select("entity_type", "entity_id").distinct(), ["entity_type", "entity_id"], "left_anti")
+    again = new.select("entity_type", "entity_id").distinct()
+    return old.join(again, ["entity_type", "entity_id"], "left_anti").select(*new.columns).unionByName(new)
+
+
 def candidates(posted: DataFrame, query: str, entity_type: str) -> DataFrame:
     """``entity_id`` and ``matched`` of the symbols that share enough trigrams with the query."""
     hit = posted.where((F.col("entity_type") == entity_type) & F.col("trigram").isin(trigram_list(query)))

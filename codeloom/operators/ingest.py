@@ -133,6 +133,14 @@ def ingest(tables: dict[str, DataFrame], incoming: DataFrame, assets: DataFrame
     return out
 
 
+def upsert_content(content: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The stored texts after those of ``incoming`` (``file_id``, ``content``) came: the hash is worked out, a text of any
+    length replaces the old one, and a null text takes it away. Of several for one file the largest counts."""
+    new = incoming.where("file_id is not null").groupBy("file_id").agg(F.max("content").alias("content"))
+    kept = content.join(new.select("file_id"), "file_id", "left_anti")
+    return kept.select("file_id", "content", "content_hash").unionByName(new.where("content is not null").withColumn("content_hash", content_hash(F.col("content"))))
+
+
 def index_status(rows: DataFrame, languages: list[str]) -> DataFrame:
     """The latest status of each language (``language``, ``status``, ``at``); one never reported is pending."""
     known = rows.sparkSession.createDataFrame([(x,) for x in languages], "language string")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import trigrams
 from codeloom.operators import ingest as I
 from codeloom.operators import logs as L
 from codeloom.operators import upkeep as U
 from codeloom.operators import patches
 from codeloom.plans.core_problems import ORACLE as CORE
-from codeloom.plans.search_queries import _t
+from codeloom.plans.search_queries import _t, trigram_sql
 from codeloom.session import Scratch, table
 from codeloom.sources import parsers
 from codeloom.streaming import changes as C
@@ -160,6 +161,21 @@ def _ready(s, d):
     return U.readiness(rows, ["click", "view", "nameTrigram"])
 
 
+def _upserted_texts(s, d):
+    texts = _t(s, d, "file_content")[0]
+    new = texts.where("file_id % 3 = 0").select("file_id", F.when(F.col("file_id") % 2 == 0, F.upper("content")).alias("content"))
+    return I.upsert_content(texts, new).select("file_id", "content_hash", F.length("content").alias("n"))
+
+
+def _postings_kept(s, d):
+    """Postings after the types of one kind went and came again under other ids."""
+    types, members = _t(s, d, "types", "members")
+    posted = trigrams.postings(types, members)
+    gone = types.where("kind = 'enum'").select(F.lit("type").alias("entity_type"), F.col("id").alias("entity_id"))
+    new = types.where("kind = 'enum'").withColumn("id", -F.col("id"))
+    return trigrams.updated(posted, gone, new, members.limit(0)).groupBy("entity_type", "trigram").agg(F.count("*").alias("n"), F.sum("entity_id").alias("ids"))
+
+
 def _batches(s, d):
     return U.full_scan(_t(s, d, "files")[0].where("language = 'cpp'").select("path")).select("path", "batch")
 
@@ -184,6 +200,8 @@ QUERIES = {
     "k10_without_project": lambda s, d: U.without_assets(_t(s, d, "assets")[0], project="Tidegate-Content").select("id"),
     "k10_without_paths": lambda s, d: U.without_assets(_t(s, d, "assets")[0], paths=_t(s, d, "assets")[0].where("asset_class = 'Material'")).select("id"),
     "k10_without_language": lambda s, d: _symbols_of(U.without_language(_tables(s, d), "angelscript")),
+    "k3_postings_kept": _postings_kept,
+    "k11_upserted_texts": _upserted_texts,
     "k15_argument_summary": _args,
     "n3_rebuild_language": _rebuilt,
     "n5_rebuild_project": _reindexed,
@@ -247,6 +265,17 @@ ORACLE = {
         select path, 'type' as entity, t.name, kind, line from types t join files f on f.id = t.file_id where language <> 'angelscript'
         union all select path, 'member', m.name, member_kind, line from (select distinct * from members) m join files f on f.id = m.file_id where language <> 'angelscript'""",
     "k15_argument_summary": "select doc_id, case when length(text) > 50 then substr(text, 1, 50) || '...' else text end as query, cast(n_chars as varchar) as limit from documents",
+    "k3_postings_kept": f"""
+        with named as (
+            select 'type' as entity_type, case when kind = 'enum' then -id else id end as id, name from types union all select 'member', id, name from (select distinct * from members)),
+        posted as (select distinct entity_type, id, unnest({trigram_sql('name')}) as trigram from named)
+        select entity_type, trigram, count(*) as n, sum(id) as ids from posted group by all""",
+    "k11_upserted_texts": """
+        select file_id, content_hash, length(content) as n from file_content where file_id % 3 <> 0
+        union all
+        select file_id, cast(case when h >= 9223372036854775808 then h - 18446744073709551616 else h end as bigint), n from (
+            select file_id, n, cast(cast('0x' || array_to_string(list_transform([8, 7, 6, 5, 4, 3, 2, 1], lambda i: substr(digest, 2 * i - 1, 2)), '') as ubigint) as hugeint) as h
+            from (select file_id, md5(upper(content)) as digest, length(upper(content)) as n from file_content where file_id % 6 = 0 and content is not null))""",
     "n3_rebuild_language": """
         select f.id, f.path, f.mtime, c.content_hash from files f left join file_content c on c.file_id = f.id and content is not null
         where not (language = 'angelscript' and project = 'Tidegate')""",

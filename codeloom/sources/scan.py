@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import names
 from codeloom.functions.text import content_hash
+from codeloom.sources import parsers
 from codeloom.sources.asset_header import header_classes
 
 LANGUAGES = ("angelscript", "cpp", "content", "config")
@@ -80,6 +81,18 @@ def read_texts(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     )
 
 
+def read_source(spark: SparkSession, root: str, project: str, extensions: Sequence[str] = (".as", ".h", ".hpp", ".cpp", ".inl", ".ini"), exclude: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The source files below a folder in one reading: ``(items, symbols)``. ``items`` are as ``ingest`` wants them, the language
+    by the extension; ``symbols`` come from the parser of each file's language, by ``path``. Settings have a text only."""
+    base = root.rstrip("/")
+    texts = read_texts(spark, root).where(wanted(F.col("path"), extensions, exclude))
+    relative = F.substr("path", F.lit(len(base) + 2))
+    items = texts.select("path", F.lit(project).alias("project"), names.derive_module(relative, F.lit(project)).alias("module"), "mtime", names.language_of(F.col("path")).alias("language"), relative.alias("relative_path"), "content")
+    numbered = items.select(F.xxhash64("path").alias("file_id"), "path", "language", "content")
+    found = parsers.symbols(numbered).join(numbered.select("file_id", "path"), "file_id").drop("file_id")
+    return items, found
+
+
 def read_assets(spark: SparkSession, root: str, project: str) -> DataFrame:
     """The assets below a content folder, with the classes from their headers: the columns of ``assets`` without ``id``."""
     base = root.rstrip("/")

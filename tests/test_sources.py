@@ -183,3 +183,16 @@ def test_published_tables_are_read_by_their_filters(spark, tmp_path):
         found.explain("formatted")
     assert found.count() == 110 and "StringStartsWith(name_lower,name4)" in shown.getvalue()
     assert set(LAYOUTS) == {"files", "types", "members", "assets", "file_content"}
+
+
+def test_read_source_goes_to_the_parser_of_each_language(spark, tmp_path):
+    from codeloom.sources import scan
+
+    (tmp_path / "Sub").mkdir()
+    (tmp_path / "Sub" / "Boat.h").write_text("class UBoat : public UObject\n{\n};\n")
+    (tmp_path / "Aim.as").write_text("class UAim : UObject\n{\n}\n")
+    (tmp_path / "D.ini").write_text("class=UNone\n")
+    (tmp_path / "x.txt").write_text("class UText\n{\n}\n")
+    items, found = scan.read_source(spark, str(tmp_path), "P")
+    assert {(r.relative_path, r.language, r.module) for r in items.collect()} == {("Sub/Boat.h", "cpp", "P.Sub"), ("Aim.as", "angelscript", "P"), ("D.ini", "config", "P")}
+    assert {(r.name, r.parent, r.path.rsplit("/", 1)[-1]) for r in found.collect()} == {("UBoat", "UObject", "Boat.h"), ("UAim", "UObject", "Aim.as")}

@@ -157,6 +157,10 @@ def test_facade(spark):
         with pytest.raises(BadRequest):
             call()
     assert index.grep("Anchor Socket", 1_780_000_000_000).count() >= 0
+    told = index.explain_type("UCoreObject", 3, 3, context_lines=1)
+    assert {"signature", "context"} <= set(told["members"].columns) and {"signature", "context"} <= set(told["type"].columns) and told["members"].count() >= 0
+    assert index.search_symbols("UCoreObject").count() >= 1
+    assert len(Index.grep_hints("a\\nb\\|c", "P")) == 3 and Index.grep_hints("abc") == []
     assert Index.hints("find_type", project="P") == ["look for similar names (fuzzy)", "leave out the filter on project (P)"]
 
 
