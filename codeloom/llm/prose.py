@@ -434,7 +434,7 @@ def text_types(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     ``prose``, or ``other``. ``common_words`` is a small fixed table of at most ``MOST_COMMON`` words, more are an error;
     letter case there does not matter, and without it no function says anything of common words. Whole texts are read.
     How often each pattern of votes comes is counted over all documents; only these counts reach the driver (patterns
-    grow with about the fourth root of the texts: 306, 527 and 940 for 1,000, 10,000 and 100,000 of them). An empty table
+    grow with about the fourth root of the texts: about 210, 330 and 560 for 1,000, 10,000 and 100,000 of them). An empty table
     gives no rows; repeated rows and null ids come out each.
     """
     scratch = Scratch(documents.sparkSession, "prose")
